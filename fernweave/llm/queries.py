@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, simhash
+from . import avi, bpe, decontam, simhash, warc
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash}
+def op3_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_report(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc}
+
+ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE}
