@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, debruijn, decontam, simhash, warc
+from . import avi, bpe, debruijn, decontam, langid, simhash, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.langid_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE}
