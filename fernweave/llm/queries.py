@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, debruijn, decontam, langid, pii, simhash, warc
+from . import avi, bpe, debruijn, decontam, langid, pii, secrets, simhash, warc
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id, "op4_pii": op4_pii}
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id, "op4_pii": op4_pii, "op1_secrets": op1_secrets}
 
 ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE}
