@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, debruijn, decontam, langid, pii, secrets, simhash, warc
+from . import avi, bpe, debruijn, decontam, langid, pii, quotes, secrets, simhash, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id, "op4_pii": op4_pii, "op1_secrets": op1_secrets}
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id, "op4_pii": op4_pii, "op1_secrets": op1_secrets, "op8_quotes": op8_quotes}
+
+ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE, "op8_quotes": quotes.ORACLE}
