@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: from documents to token ids in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of documents, but
+for the last, which returns doc_id, n_tokens, ids and decoded_sha256. Every stage's result is written to the shared
+folder and read again, so that a lost executor costs tasks of one stage only.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from fernweave.llm import bpe, decontam, langid, pii, simhash
+from fernweave.llm.common import durable, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language with half of the probability, go."""
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the document of least doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten successive words of a benchmark item, or a whole shorter item, go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.mask(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids, which are decoded again as a check."""
+    return bpe.bpe_tokens(docs, bpe.default_codec())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pii", personal_data),
+    ("bpe", tokens),
+]
 
-#: SQL can't express language models, near-duplicate components or sub-word merges.
+#: SQL can't express language models, near-duplicate components or sub-word merges; tests use brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of a data folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -281,6 +281,22 @@ def bpe_digest(df: DataFrame, codec: BpeCodec, key: str = "doc_id", text: str =
     return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
 
 
+def bpe_tokens(df: DataFrame, codec: BpeCodec, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row the key, n_tokens, ids array<int>, and decoded_sha256 of what the ids decode to."""
+    shared = df.sparkSession.sparkContext.broadcast(codec)
+
+    def make():
+        own = _codec(shared)
+
+        def run(keys, texts):
+            ids = [own.encode(t) for t in texts]
+            return {key: keys, "n_tokens": [len(i) for i in ids], "ids": ids, "decoded_sha256": [sha256_hex(own.decode(i)) for i in ids]}
+
+        return run
+
+    return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids array<int>, decoded_sha256 string", make)
+
+
 def default_codec(spark: SparkSession | None = None) -> BpeCodec:
     """By the public vocabulary for many languages."""
     import public_tokenizers

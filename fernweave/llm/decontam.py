@@ -46,6 +46,12 @@ def _at(size: int) -> str:
     return f"if(size(wh) >= {size}, sequence(1, size(wh) - {size - 1}), array())"
 
 
+def _starts(n: int, known: list[str] | None) -> Column:
+    """The windows of n words in wh whose hash is known, or all of them: array of (at, n, h)."""
+    each = f"transform({_at(n)}, i -> struct(i - 1 as at, {n} as n, xxhash64(slice(wh, i, {n})) as h))"
+    return F.expr(f"filter({each}, x -> x.h IN ({', '.join(known)}))" if known else each)
+
+
 def hits(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """For every row of docs: `keep`, n_words, covered (0-based positions of hit words, sorted) and item_ids (sorted)."""
     grams = item_windows(items, size)
@@ -57,10 +63,7 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW,
     if total <= set_limit:
         for r in grams.select("n", "h").collect():
             known.setdefault(r.n, []).append(f"{r.h}L")
-    each_size = []
-    for n in sorted(r.n for r in sizes):
-        at = f"transform({_at(n)}, i -> struct(i - 1 as at, {n} as n, xxhash64(slice(wh, i, {n})) as h))"
-        each_size.append(F.expr(f"filter({at}, x -> x.h IN ({', '.join(known[n])}))" if known else at))
+    each_size = [_starts(r.n, known.get(r.n)) for r in sorted(sizes, key=lambda r: r.n)]
     found = F.concat(*each_size) if each_size else F.expr("array(struct(0 as at, 0 as n, 0L as h))").cast("array<struct<at:int,n:int,h:bigint>>")
     told = numbered.select("row", *keep, F.size("w").alias("n_words"), F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["h"].alias("h"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("gram"))).alias("found"))
     each = told.select("row", *keep, "n_words", F.explode_outer("found").alias("x")).select("row", *keep, "n_words", "x.*")
@@ -76,3 +79,28 @@ def decontaminate_report(docs: DataFrame, items: DataFrame, size: int = WINDOW,
     found = hits(docs, items, ["doc_id"], size, set_limit)
     n_hit = F.size("covered").cast("bigint")
     return found.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
+    """docs without the rows that contain a window of an item; columns and their order stay.
+
+    Up to set_limit windows, hashes and words are both looked up inside the scan and nothing is shuffled. Beyond it,
+    documents are told by hits() and leave by an anti-join on doc_id, and rows of null doc_id stay.
+    """
+    grams = item_windows(items, size)
+    if grams.count() > set_limit:
+        bad = hits(docs, items, ["doc_id"], size, set_limit).filter("size(covered) > 0").select("doc_id").distinct()
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    by_size: dict[int, list] = {}
+    for r in grams.select("n", "h", "gram").collect():
+        by_size.setdefault(r.n, []).append(r)
+    if not by_size:
+        return docs
+    columns = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    split = docs.select(F.struct(*docs.columns).alias("d"), words_of(F.col("text")).alias("w")).withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
+    found = F.concat(*(_starts(n, [f"{r.h}L" for r in rows]) for n, rows in sorted(by_size.items())))
+    known = ", ".join(f"'{r.gram}'" for rows in by_size.values() for r in rows)  # words have no quotes or backslashes
+    told = split.select("d", "w", found.alias("found"))
+    # The filter looks at the row number, so that it isn't pushed below, where the words would be split again for each window.
+    judged = told.select("d", F.expr(f"exists(found, x -> array_join(slice(w, x.at + 1, x.n), ' ') IN ({known}))").alias("bad"), F.monotonically_increasing_id().alias("row"))
+    return judged.filter("not bad and row >= 0").select(*columns)
