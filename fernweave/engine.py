@@ -38,7 +38,7 @@ class Engine:
         docs = index.latest(docs)
         old = self.chunks()
         start = 0 if old is None else (old.agg(F.max("pos")).first()[0] or 0) + 1
-        new = index.chunk_documents(docs, self.settings, start).withColumn("vector", embed(F.concat("title", F.lit(" "), "text"), self.embedder))
+        new = index.chunk_documents(docs, self.settings, start).withColumn("vector", embed(F.col("text"), self.embedder))
         self._save(new if old is None else index.upsert(old, docs, new))
         return self.chunks().filter(F.col("pos") >= start).count()
 

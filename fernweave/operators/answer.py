@@ -17,6 +17,7 @@ from ..functions.text import INSUFFICIENT_CONTEXT, content_words, failure_reason
 #: Fixed values of the selection: sentences quoted, least shared words, how far below the best a similarity may lie.
 MOST_SENTENCES, LEAST_OVERLAP, SLACK = 3, 2, 0.15
 NO_ANSWER = "The indexed documents do not contain enough information to answer this question."
+NOTHING_FOUND = "I could not find anything relevant in the indexed documents."
 
 
 class AnswerEngine(Protocol):
@@ -64,14 +65,19 @@ def finish(raw: DataFrame, contexts: DataFrame, questions: DataFrame, most: int,
     """qid, question, text, cited_ordinals, abstained, usage, engine: abstentions told, citations parsed, wrong ones removed."""
     passages = contexts.groupBy("qid").agg(F.count("*").alias("n"), F.sum(word_count(F.col("text"))).cast("int").alias("words"))
     rows = questions.join(raw, "qid", "left").join(passages, "qid", "left")
-    abstained = F.coalesce("n", F.lit(0)).eqNullSafe(0) | F.coalesce("text", F.lit(INSUFFICIENT_CONTEXT)).contains(INSUFFICIENT_CONTEXT)
+    n = F.coalesce("n", F.lit(0))
+    valid = F.col("text")
+    for i in range(most):
+        valid = F.when(n == i, strip_invalid_citations(F.col("text"), i)).otherwise(valid)
+    valid = F.when(n >= most, strip_invalid_citations(F.col("text"), most)).otherwise(valid)
+    abstained = (n == 0) | F.coalesce("text", F.lit(INSUFFICIENT_CONTEXT)).contains(INSUFFICIENT_CONTEXT)
     none = F.array().cast("array<int>")
     usage = F.create_map(F.lit("prompt_tokens"), F.coalesce("words", F.lit(0)) + word_count(F.col("question")), F.lit("output_tokens"), word_count(F.coalesce("text", F.lit(""))))
     return rows.select(
         "qid",
         "question",
-        F.when(abstained, NO_ANSWER).otherwise(strip_invalid_citations(F.col("text"), most)).alias("text"),
-        F.when(abstained, none).otherwise(parse_citations(F.col("text"), F.coalesce("n", F.lit(0)))).alias("cited_ordinals"),
+        F.when(n == 0, NOTHING_FOUND).when(abstained, NO_ANSWER).otherwise(valid).alias("text"),
+        F.when(abstained, none).otherwise(parse_citations(F.col("text"), n)).alias("cited_ordinals"),
         abstained.alias("abstained"),
         usage.alias("usage"),
         F.lit(engine).alias("engine"),
