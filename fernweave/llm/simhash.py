@@ -39,16 +39,26 @@ SEED = 42
 GROUP = 32_768
 #: Up to so many fingerprints at an anchor are compared pairwise in vector form.
 SMALL = 8
+#: For near_groups(): words of a shingle, shingle hashes in a sketch, and the least similarity of linked texts.
+NEAR_SHINGLE, SKETCH, SIMILARITY = 5, 128, 0.8
+#: Fingerprints of single words for each text, from independent hashes.
+BAGS = 3
+
+
+def _hashes(words: list[bytes], shingle_words: int) -> bytes:
+    """The big-endian XXH64 hashes of the shingles, repeats included; fewer words are one shingle."""
+    runs = words if shingle_words == 1 else [b" ".join(words)] if len(words) < shingle_words else map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(s, SEED) for s in runs])
 
 
 def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     """The signed 64-bit fingerprint. Upper-case A-Z count as lower-case; words end at ASCII white space."""
     words = utf8(text).lower().split()
-    if not words:
-        return 0
-    runs = [b" ".join(words)] if len(words) < shingle_words else map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
-    digest = xxhash.xxh64_digest
-    joined = b"".join([digest(s, SEED) for s in runs])
+    return _fingerprint(_hashes(words, shingle_words)) if words else 0
+
+
+def _fingerprint(joined: bytes) -> int:
     n = len(joined) // 8
     ones = np.zeros(64, np.int64)
     for at in range(0, len(joined), 8 << 16):
@@ -65,6 +75,18 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint", make)
 
 
+def _bags(words: list[bytes]) -> list[int]:
+    """BAGS fingerprints of a text's single words, repeats included."""
+    if not words:
+        return [0] * BAGS
+    h, out = np.frombuffer(_hashes(words, 1), ">u8").astype(np.uint64), []
+    for _ in range(BAGS):
+        out.append(_fingerprint(h.tobytes()))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return out
+
+
 def _flips() -> np.ndarray:
     """For each syndrome of the length-31 Hamming code, what to flip to reach each code word within distance 2."""
     out = np.zeros((32, 16), np.uint64)
@@ -105,15 +127,20 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each group of linked fingerprints among fp: searches breadth first, each step against what's left."""
+    """For each group of linked fingerprints among fp, a star around its first and the tree by which it was searched.
+
+    Breadth first, each step against what's left: two edges for each fingerprint at most.
+    """
     left, ends, roots = np.arange(len(fp)), [], []
     while len(left):
         root, todo, left = left[0], [left[0]], left[1:]
         while todo and len(left):
-            near = np.bitwise_count(fp[left] ^ fp[todo.pop()]) <= THRESHOLD
+            at = todo.pop()
+            near = np.bitwise_count(fp[left] ^ fp[at]) <= THRESHOLD
             if near.any():
-                ends.append(left[near])
-                roots.append(np.full(int(near.sum()), root))
+                for start in {int(root), int(at)}:
+                    ends.append(left[near])
+                    roots.append(np.full(int(near.sum()), start))
                 todo += left[near].tolist()
                 left = left[~near]
     none = np.empty(0, np.int64)
@@ -192,10 +219,7 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     """For every row of df: the key, fp bigint, component_id (the least key reachable, itself included)."""
     each = durable(fingerprints(df, key, text, shingle_words))
     fps = durable(each.groupBy("fp").agg(F.min(key).alias("least")))
-    linked = components(links(fps.select("fp")))
-    roots = fps.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select(key, "fp", "component_id")
+    return _named(each, fps, components(links(fps.select("fp"))))
 
 
 def simhash_report(df: DataFrame) -> DataFrame:
@@ -203,7 +227,69 @@ def simhash_report(df: DataFrame) -> DataFrame:
     return simhash_groups(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """df with one row of each group: the row of least doc_id. Of rows with the same doc_id one stays; rows with null doc_id stay."""
-    kept = simhash_groups(df, shingle_words=shingle_words).filter("doc_id = component_id").select("doc_id").distinct()
+def sketch(words: list[bytes]) -> bytes:
+    """The SKETCH least 32-bit hashes of the distinct five-word shingles, sorted."""
+    low = np.frombuffer(_hashes(words, NEAR_SHINGLE), ">u4")[1::2] if words else np.empty(0, np.uint32)
+    return np.unique(low)[:SKETCH].astype(np.uint32).tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity that two sketches tell: exact for texts of SKETCH shingles or fewer. Two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.concatenate([x, y])
+    both.sort()
+    repeated = both[1:] == both[:-1]
+    union = both[np.r_[True, ~repeated]] if len(both) else both
+    if not len(union):
+        return 1.0
+    last = union[min(SKETCH, len(union)) - 1]
+    return float((both[1:][repeated] <= last).sum() / min(SKETCH, len(union)))
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row of df the key and component_id, by links of two kinds.
+
+    Links of simhash_groups(); and those of texts whose fingerprints of single words, which a few changed words hardly
+    move, meet at an anchor and differ in THRESHOLD bits at most, if their five-word shingles are SIMILARITY alike by
+    their sketches. At anchors of many fingerprints the second kind is tried along the search's edges only.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def make():
+        def run(keys, texts):
+            words = [utf8(t).lower().split() for t in texts]
+            out = {key: keys, "fp": [_fingerprint(_hashes(w, 3)) if w else 0 for w in words]}
+            return out | {"bags": [_bags(w) for w in words], "sketch": [sketch(w) for w in words]}
+
+        return run
+
+    each = durable(map_batches(df, [key, text], f"`{key}` {kind}, fp bigint, bags array<bigint>, sketch binary", make))
+    # Of texts with one fingerprint, which link anyhow, one stands for all.
+    nodes = durable(each.groupBy("fp").agg(F.min(key).alias("least"), F.min_by(F.struct("bags", "sketch"), F.struct(key, "bags")).alias("one")).select("fp", "least", "one.*"))
+    tried = None
+    for i in range(BAGS):
+        own = nodes.select("fp", F.element_at("bags", i + 1).alias("bag"))
+        bags = own.groupBy("bag").agg(F.min("fp").alias("fp"))
+        same = own.select("bag", F.col("fp").alias("b")).join(bags, "bag").select(F.col("fp").alias("a"), "b").filter("a <> b")
+        ends = lambda end: bags.select(F.col("bag").alias(end), F.col("fp").alias(f"{end}_fp"))  # noqa: B023, E731
+        met = links(bags.select(F.col("bag").alias("fp"))).join(ends("a"), "a").join(ends("b"), "b")
+        both = same.unionByName(met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+    sketched = lambda end: nodes.select(F.col("fp").alias(end), F.col("sketch").alias(f"{end}_sketch"))
+    tried = tried.distinct().join(sketched("a"), "a").join(sketched("b"), "b")
+    judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
+    alike = map_batches(tried, ["a", "b", "a_sketch", "b_sketch"], "a bigint, b bigint", judge)
+    return _named(each.select(key, "fp"), nodes.select("fp", "least"), components(links(nodes.select("fp")).unionByName(alike)))
+
+
+def _named(each: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """each with component_id; fps: fp, least; linked: a node and the least node of its component."""
+    roots = fps.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return each.join(named, "fp").select(*each.columns, "component_id")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """df with one row of each group of near_groups(): the row of least doc_id. Of rows with the same doc_id one stays; rows with null doc_id stay."""
+    kept = near_groups(df).filter("doc_id = component_id").select("doc_id").distinct()
     return df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(df.columns).unionByName(df.filter("doc_id is null"))
