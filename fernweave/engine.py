@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.vectors import Embedder, HashEmbedder, embed
 from .operators import answer, bm25, dense, evaluate, index, retrieve
+from .session import prepared
 from .settings import DEFAULT, Settings
 from .sources import files, store
 from .streaming import ingest_stream
@@ -18,7 +19,7 @@ class Engine:
     """A hybrid retrieval index in a folder of any store that Spark reads. Queries take a set of questions at a time."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings = DEFAULT, llm: answer.AnswerEngine | None = None):
-        self.spark, self.path, self.settings, self.llm = spark, path, settings, llm
+        self.spark, self.path, self.settings, self.llm = prepared(spark), path, settings, llm
         self.embedder = embedder or HashEmbedder(settings.embedding_dim)
 
     # --- index ---

@@ -11,6 +11,7 @@ from ..functions import sentences as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answer, bm25, dense, evaluate, fusion, index, retrieve
+from ..session import prepared
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,15 +21,18 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def _pdf_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _pdf_text(content: bytes) -> str:
+    """Each page reflowed, pages apart by an empty line."""
     try:
         from pypdf import PdfReader
     except ImportError:
         raise RuntimeError("reading PDF files needs the optional package pypdf") from None
-    import io
+    return "\n\n".join(reflow(p.extract_text() or "") for p in PdfReader(io.BytesIO(content)).pages)
+
 
+def _pdf_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for contents in batches:
-        yield contents.map(lambda b: "\n\n".join(reflow(p.extract_text() or "") for p in PdfReader(io.BytesIO(b)).pages))
+        yield contents.map(_pdf_text).astype(object)
 
 
 def documents(files: DataFrame, root: str | None = None) -> DataFrame:
