@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import prepared
+
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder, by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sha256_hex(data: bytes) -> str:
@@ -63,7 +65,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def durable_at(df: DataFrame) -> tuple[DataFrame, str]:
     """durable(), and the folder that drop() takes."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{shared_dir(spark)}/fernweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
