@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,8 +41,9 @@ def documents(files: DataFrame, root: str | None = None) -> DataFrame:
 
     A file's identity is its path below `root`, or its bare name without one; pos follows the paths' order.
     """
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*(?=/)", "")
-    prefix = None if root is None else root.rstrip("/") + "/"
+    scheme = r"^[a-z0-9]+:/*(?=/)"
+    path = F.regexp_replace(F.col("path"), scheme, "")
+    prefix = None if root is None else re.sub(scheme, "", root).rstrip("/") + "/"
     relative = F.regexp_replace(path, r"^.*/", "") if prefix is None else F.when(path.contains(prefix), F.substring_index(path, prefix, -1)).otherwise(path)
     named = files.select("content", relative.alias("key")).withColumn("source", F.regexp_replace("key", r"^.*/", ""))
     suffix = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
