@@ -291,3 +291,16 @@ def dedup_report(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
         return run
 
     return map_batches(with_spans(docs, hot_runs), ["doc_id", "text", "spans"], "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", make)
+
+
+#: The same rows as dedup_report()'s, window by window.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT id, doc_id, k, md5(array_to_string(w[k:k + {WINDOW - 1}], ' ')) AS h FROM (SELECT id, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM d)),
+least AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+gone AS (SELECT DISTINCT id, unnest(range(k, k + {WINDOW})) AS pos FROM win JOIN least USING (h) WHERE least < doc_id),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY pos) AS kept FROM (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) ANTI JOIN gone USING (id, pos) GROUP BY id),
+n AS (SELECT id, count(*) AS n_removed FROM gone GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (id) LEFT JOIN n USING (id)
+"""

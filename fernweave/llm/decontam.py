@@ -104,3 +104,20 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, set
     # The filter looks at the row number, so that it isn't pushed below, where the words would be split again for each window.
     judged = told.select("d", F.expr(f"exists(found, x -> array_join(slice(w, x.at + 1, x.n), ' ') IN ({known}))").alias("bad"), F.monotonically_increasing_id().alias("row"))
     return judged.filter("not bad and row >= 0").select(*columns)
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+#: The same rows as decontaminate_report()'s.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS gram FROM s),
+p AS (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g)),
+h AS (SELECT id, k, n, item_id FROM (SELECT id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM p) JOIN g USING (n, gram)),
+c AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY id),
+t AS (SELECT id, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (id) LEFT JOIN t USING (id)
+"""

@@ -52,4 +52,4 @@ def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op5_decontaminate": op5_decontaminate, "op6_simhash": op6_simhash, "op3_avi": op3_avi, "op10_warc": op10_warc, "op7_substring_dedup": op7_substring_dedup, "op9_language_id": op9_language_id, "op4_pii": op4_pii, "op1_secrets": op1_secrets, "op8_quotes": op8_quotes}
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": warc.ORACLE, "op8_quotes": quotes.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontam.ORACLE, "op7_substring_dedup": debruijn.ORACLE, "op10_warc": warc.ORACLE, "op8_quotes": quotes.ORACLE}
