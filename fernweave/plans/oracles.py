@@ -145,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
     "term_stats": f"WITH {_BASE}, {_STATS} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "corpus_stats": f"WITH {_BASE}, {_STATS} SELECT n_chunks, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM size, mean",
     "bm25_topk": f"WITH {_lexical()} {_ONE} lexical",
-    "l2_normalize": "SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS i, round(unnest(e) / n, 5) AS x FROM (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS e FROM embeddings))",
+    "l2_normalize": "SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS i, round(unnest(e) / n, 5) + 0.0::DOUBLE AS x FROM (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS e FROM embeddings))",
     "dense_topk": f"WITH {_VECTORS.format(k=20)} {_ONE} hits",
     "hash_md5_vectors": f"WITH {_BASE}, dv AS ({_sparse('text', 'chunk_id', 32, 'passages')}) SELECT chunk_id, CAST(i AS INTEGER) AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS x FROM dv QUALIFY w <> 0",
     "rrf_fuse": f"WITH {_ALL} {_ONE} fused",

@@ -199,7 +199,7 @@ def bm25_topk(spark, sf_dir):
 @query
 def l2_normalize(spark, sf_dir):
     v = V.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("i", "x")).select("vec_id", "i", F.round("x", 5).alias("x"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("i", "x")).select("vec_id", "i", (F.round("x", 5) + 0.0).alias("x"))
 
 
 def _vectors(spark, sf_dir):
