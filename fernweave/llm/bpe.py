@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, sha256_hex
 
-#: Pieces kept in each of two generations by a Python worker, and the longest piece kept: about 200 MB at most.
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+#: Pieces kept in each of two generations by a Python worker, and the longest piece kept: about 80 MB at most.
+KEPT_PIECES, KEPT_LENGTH = 200_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -33,7 +33,7 @@ SAMPLE_ROWS = 12_000
 MODEL_WORDS, MODEL_GRAMS, LONGEST = 60_000, 20_000, 5
 LANGUAGES = 200
 #: Words that a worker remembers beyond the model's.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Part of a seen event that an unseen one counts as.
 SMOOTHING = 0.1
 UNDETERMINED = "und"
