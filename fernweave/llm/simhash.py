@@ -40,7 +40,7 @@ GROUP = 32_768
 #: Up to so many fingerprints at an anchor are compared pairwise in vector form.
 SMALL = 8
 #: For near_groups(): words of a shingle, shingle hashes in a sketch, and the least similarity of linked texts.
-NEAR_SHINGLE, SKETCH, SIMILARITY = 5, 128, 0.8
+NEAR_SHINGLE, SKETCH, SIMILARITY = 5, 96, 0.8
 #: Fingerprints of single words for each text, from independent hashes.
 BAGS = 3
 
@@ -275,8 +275,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         met = links(bags.select(F.col("bag").alias("fp"))).join(ends("a"), "a").join(ends("b"), "b")
         both = same.unionByName(met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
-    sketched = lambda end: nodes.select(F.col("fp").alias(end), F.col("sketch").alias(f"{end}_sketch"))
-    tried = tried.distinct().join(sketched("a"), "a").join(sketched("b"), "b")
+    tried = durable(tried.distinct())
+    # Only the sketches of fingerprints that met another are shuffled on.
+    wanted = durable(nodes.select("fp", "sketch").join(tried.select(F.col("a").alias("fp")).unionByName(tried.select(F.col("b").alias("fp"))).distinct(), "fp", "left_semi"))
+    sketched = lambda end: wanted.select(F.col("fp").alias(end), F.col("sketch").alias(f"{end}_sketch"))
+    tried = tried.join(sketched("a"), "a").join(sketched("b"), "b")
     judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
     alike = map_batches(tried, ["a", "b", "a_sketch", "b_sketch"], "a bigint, b bigint", judge)
     return _named(each.select(key, "fp"), nodes.select("fp", "least"), components(links(nodes.select("fp")).unionByName(alike)))
