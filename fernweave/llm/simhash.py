@@ -39,8 +39,8 @@ SEED = 42
 GROUP = 32_768
 #: Up to so many fingerprints at an anchor are compared pairwise in vector form.
 SMALL = 8
-#: For near_groups(): words of a shingle, shingle hashes in a sketch, and the least similarity of linked texts.
-NEAR_SHINGLE, SKETCH, SIMILARITY = 5, 96, 0.8
+#: For near_groups(): words of a shingle, and the least similarity of linked texts.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of single words for each text, from independent hashes.
 BAGS = 3
 
@@ -228,30 +228,23 @@ def simhash_report(df: DataFrame) -> DataFrame:
 
 
 def sketch(words: list[bytes]) -> bytes:
-    """The SKETCH least 32-bit hashes of the distinct five-word shingles, sorted."""
-    low = np.frombuffer(_hashes(words, NEAR_SHINGLE), ">u4")[1::2] if words else np.empty(0, np.uint32)
-    return np.unique(low)[:SKETCH].astype(np.uint32).tobytes()
+    """The 64-bit hashes of all distinct five-word shingles, sorted."""
+    return np.unique(np.frombuffer(_hashes(words, NEAR_SHINGLE), ">u8").astype(np.uint64)).tobytes() if words else b""
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity that two sketches tell: exact for texts of SKETCH shingles or fewer. Two empty ones are equal."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.concatenate([x, y])
-    both.sort()
-    repeated = both[1:] == both[:-1]
-    union = both[np.r_[True, ~repeated]] if len(both) else both
-    if not len(union):
-        return 1.0
-    last = union[min(SKETCH, len(union)) - 1]
-    return float((both[1:][repeated] <= last).sum() / min(SKETCH, len(union)))
+    """The Jaccard similarity of two texts' distinct shingles. Two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of df the key and component_id, by links of two kinds.
 
     Links of simhash_groups(); and those of texts whose fingerprints of single words, which a few changed words hardly
-    move, meet at an anchor and differ in THRESHOLD bits at most, if their five-word shingles are SIMILARITY alike by
-    their sketches. At anchors of many fingerprints the second kind is tried along the search's edges only.
+    move, meet at an anchor and differ in THRESHOLD bits at most, if their distinct five-word shingles are SIMILARITY
+    alike, all of them compared. At anchors of many fingerprints the second kind is tried along the search's edges only.
     """
     kind = df.schema[key].dataType.simpleString()
 

@@ -272,6 +272,16 @@ def test_near_groups_keep_one(spark):
     assert simhash.similarity(a, a) == 1 and 0.9 < simhash.similarity(a, b) < 1 and simhash.similarity(b"", b"") == 1
 
 
+def test_similarity_of_long_texts_is_exact():
+    """Texts of far more shingles than a sketch of the least hashes would hold."""
+    rng = random.Random(18)
+    for share in (0.0005, 0.004, 0.03, 0.045):
+        words = [f"w{rng.random()}".encode() for _ in range(3000)]
+        near = [w if rng.random() > share else b"changed" for w in words]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, near))
+        assert simhash.similarity(simhash.sketch(words), simhash.sketch(near)) == len(x & y) / len(x | y)
+
+
 @pytest.mark.parametrize("hot", [500, 1])
 def test_substring_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(debruijn, "BATCH_HOT", 2)
