@@ -41,8 +41,11 @@ GROUP = 32_768
 SMALL = 8
 #: For near_groups(): words of a shingle, and the least similarity of linked texts.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of single words for each text, from independent hashes.
-BAGS = 3
+#: Rows whose shingles are counted to tell frequent ones, the count from which one is frequent, and how many are told at most.
+#: These decide what the search costs, not what it finds.
+COUNTED, FREQUENT, TOLD = 20_000, 4, 50_000
+#: Sets that are told to every task to be looked for at most; beyond it they are joined.
+LOOKED_FOR = 1_000_000
 
 
 def _hashes(words: list[bytes], shingle_words: int) -> bytes:
@@ -75,18 +78,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint", make)
 
 
-def _bags(words: list[bytes]) -> list[int]:
-    """BAGS fingerprints of a text's single words, repeats included."""
-    if not words:
-        return [0] * BAGS
-    h, out = np.frombuffer(_hashes(words, 1), ">u8").astype(np.uint64), []
-    for _ in range(BAGS):
-        out.append(_fingerprint(h.tobytes()))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return out
-
-
 def _flips() -> np.ndarray:
     """For each syndrome of the length-31 Hamming code, what to flip to reach each code word within distance 2."""
     out = np.zeros((32, 16), np.uint64)
@@ -239,43 +230,134 @@ def similarity(a: bytes, b: bytes) -> float:
     return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
+def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the common order, rare ones first: so many that sets SIMILARITY alike share one of them.
+
+    frequent: sorted hashes; counts: how often each was met.
+    """
+    n = len(shingles)
+    length = n - (4 * n + 4) // 5 + 1
+    if not n or not len(frequent):
+        return shingles[:length]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    often = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(often, kind="stable")[:length]]
+
+
+def _may_reach(n, at, m, to):
+    """Whether sets of n and m shingles that share those at places `at` and `to` of the common order can be SIMILARITY alike."""
+    least, rest = (np.minimum, np.minimum(n - at, m - to)) if isinstance(n, np.ndarray) else (F.least, F.least(n - at, m - to))
+    return (5 * least(n, m) >= 4 * (n + m - least(n, m))) & (9 * (least(at, to) + rest) >= 4 * (n + m))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, sid, n, at) sorted by h and sid: one for each sid of a shingle that several have, with `first`, the least of
+    them, and whether the two can be alike."""
+
+    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        several, first = np.repeat(sizes > 1, sizes), rows[np.repeat(starts, sizes)]
+        rows, first = rows[several], first[several]
+        able = _may_reach(rows[:, 2], rows[:, 3], first[:, 2], first[:, 3]) & (rows[:, 1] != first[:, 1])
+        columns = [*(pa.array(rows[:, i]) for i in range(4)), pa.array(first[:, 1]), pa.array(able)]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "sid", "n", "at", "first", "able"])
+
+    held = np.empty((0, 4), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+        last = int((held[:, 0] == held[-1, 0]).argmax()) if len(held) else 0  # the last run may go on
+        if last:
+            yield from told(held[:last])
+            held = held[last:]
+    if len(held):
+        yield from told(held)
+
+
+def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that are SIMILARITY alike; sets: sid, shingles."""
+    wanted = durable(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    # Only sets that met another are shuffled on.
+    few = wanted.count() <= LOOKED_FOR
+    own = durable(sets.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    sided = lambda end: own.select(F.col("sid").alias(end), F.col("shingles").alias(f"{end}_set"))
+    judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
+    return durable(map_batches(pairs.join(sided("a"), "a").join(sided("b"), "b"), ["a", "b", "a_set", "b_set"], "a bigint, b bigint", judge))
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of df the key and component_id, by links of two kinds.
 
-    Links of simhash_groups(); and those of texts whose fingerprints of single words, which a few changed words hardly
-    move, meet at an anchor and differ in THRESHOLD bits at most, if their distinct five-word shingles are SIMILARITY
-    alike, all of them compared. At anchors of many fingerprints the second kind is tried along the search's edges only.
+    Links of simhash_groups(); and those of texts whose distinct five-word shingles are SIMILARITY alike, all of them. Nodes
+    are the distinct sets of shingles. Two sets that are so alike share a shingle of their prefixes, whatever the common order
+    is; at such a shingle each set is first compared with the least one there, and, once the components of these true links
+    are known, with all others that belong to another component.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def make():
         def run(keys, texts):
             words = [utf8(t).lower().split() for t in texts]
-            out = {key: keys, "fp": [_fingerprint(_hashes(w, 3)) if w else 0 for w in words]}
-            return out | {"bags": [_bags(w) for w in words], "sketch": [sketch(w) for w in words]}
+            return {key: keys, "fp": [_fingerprint(_hashes(w, 3)) if w else 0 for w in words], "sid": [_sid(sketch(w)) for w in words]}
 
         return run
 
-    each = durable(map_batches(df, [key, text], f"`{key}` {kind}, fp bigint, bags array<bigint>, sketch binary", make))
-    # Of texts with one fingerprint, which link anyhow, one stands for all.
-    nodes = durable(each.groupBy("fp").agg(F.min(key).alias("least"), F.min_by(F.struct("bags", "sketch"), F.struct(key, "bags")).alias("one")).select("fp", "least", "one.*"))
-    tried = None
-    for i in range(BAGS):
-        own = nodes.select("fp", F.element_at("bags", i + 1).alias("bag"))
-        bags = own.groupBy("bag").agg(F.min("fp").alias("fp"))
-        same = own.select("bag", F.col("fp").alias("b")).join(bags, "bag").select(F.col("fp").alias("a"), "b").filter("a <> b")
-        ends = lambda end: bags.select(F.col("bag").alias(end), F.col("fp").alias(f"{end}_fp"))  # noqa: B023, E731
-        met = links(bags.select(F.col("bag").alias("fp"))).join(ends("a"), "a").join(ends("b"), "b")
-        both = same.unionByName(met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
-    tried = durable(tried.distinct())
-    # Only the sketches of fingerprints that met another are shuffled on.
-    wanted = durable(nodes.select("fp", "sketch").join(tried.select(F.col("a").alias("fp")).unionByName(tried.select(F.col("b").alias("fp"))).distinct(), "fp", "left_semi"))
-    sketched = lambda end: wanted.select(F.col("fp").alias(end), F.col("sketch").alias(f"{end}_sketch"))
-    tried = tried.join(sketched("a"), "a").join(sketched("b"), "b")
-    judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
-    alike = map_batches(tried, ["a", "b", "a_sketch", "b_sketch"], "a bigint, b bigint", judge)
-    return _named(each.select(key, "fp"), nodes.select("fp", "least"), components(links(nodes.select("fp")).unionByName(alike)))
+    each = durable(map_batches(df, [key, text], f"`{key}` {kind}, fp bigint, sid bigint", make))
+    share = max(1, each.count() // COUNTED)
+    counted = map_batches(df.filter(F.pmod(F.xxhash64(text), F.lit(share)) == 0), [text], "shingles array<bigint>", lambda: lambda texts: {"shingles": [np.frombuffer(sketch(utf8(t).lower().split()), np.int64) for t in texts]})
+    often = counted.select(F.explode("shingles").alias("h")).groupBy("h").count().filter(f"count >= {FREQUENT}").orderBy(F.desc("count")).limit(TOLD).toArrow()
+    told = often.column("h").to_numpy().astype(np.int64).view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(told[0])
+    shared = df.sparkSession.sparkContext.broadcast((told[0][order], told[1][order]))
+
+    def make_prefixes():
+        seen: set[int] = set()
+
+        def run(texts):
+            sids, hashes, sizes, lengths = [], [], [], []
+            for t in texts:
+                own = sketch(utf8(t).lower().split())
+                sid = _sid(own)
+                if sid not in seen and own:
+                    seen.add(sid)
+                    x = np.frombuffer(own, np.uint64)
+                    h = prefix(x, *shared.value)
+                    sids.append(sid)
+                    hashes.append(h.view(np.int64))
+                    sizes.append(len(x))
+                    lengths.append(len(h))
+            at = np.concatenate([np.empty(0, np.int64), *map(np.arange, lengths)])
+            return {"h": np.concatenate([np.empty(0, np.int64), *hashes]), "sid": np.repeat(np.array(sids, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths), "at": at.astype(np.int32)}
+
+        return run
+
+    copies = map_batches(df, [text], "h bigint, sid bigint, n int, at int", make_prefixes)
+    met = durable(copies.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h bigint, sid bigint, n bigint, at bigint, first bigint, able boolean"))
+    sets = map_batches(df, [text], "sid bigint, shingles binary", lambda: lambda texts: dict(zip(("sid", "shingles"), map(list, zip(*[(_sid(x), x) for x in (sketch(utf8(t).lower().split()) for t in texts)])))) or {"sid": [], "shingles": []})
+    alike = _alike(sets, durable(met.filter("able").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()))
+    # Sets with one fingerprint link anyhow: each with the least of them, which stands for the fingerprint.
+    nodes = durable(each.groupBy("fp", "sid").agg(F.min(key).alias("least")))
+    stands = durable(nodes.groupBy("fp").agg(F.min("sid").alias("one")))
+    by_fp = nodes.join(stands, "fp").select(F.col("one").alias("a"), F.col("sid").alias("b"))
+    end = lambda c: stands.select(F.col("fp").alias(c), F.col("one").alias(f"{c}_one"))
+    linked = links(stands.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
+    roots = components(by_fp.unionByName(linked).unionByName(alike))
+    # What's left: at each shingle, the pairs of different components, but for those with the least set, which were compared.
+    placed = met.filter("sid <> first").join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    left = durable(placed.join(mixed, "h").select("h", "sid", "n", "at", "root"))
+    x, y = left.alias("x"), left.alias("y")
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
+    others = x.join(y, apart & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    every = components(roots.unionByName(_alike(sets, durable(others))))
+    ids = nodes.select(F.col("sid").alias("fp"), "least").groupBy("fp").agg(F.min("least").alias("least"))
+    return _named(each.select(key, F.col("sid").alias("fp")), ids, every).select(key, "component_id")
+
+
+def _sid(shingles: bytes) -> int:
+    """The id of a set of shingles."""
+    return int.from_bytes(xxhash.xxh64_digest(shingles, SEED), "big", signed=True)
 
 
 def _named(each: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:

@@ -272,6 +272,38 @@ def test_near_groups_keep_one(spark):
     assert simhash.similarity(a, a) == 1 and 0.9 < simhash.similarity(a, b) < 1 and simhash.similarity(b"", b"") == 1
 
 
+@pytest.mark.parametrize("frequent", [simhash.FREQUENT, 1])
+def test_near_groups_miss_no_pair(spark, frequent, monkeypatch):
+    """Chains in which only neighbours are 0.8 alike, and crowds of texts around a common one, against all pairs."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rng = random.Random(19)
+    texts = []
+    for _ in range(4):
+        line = [f"w{rng.randint(0, 5000)}" for _ in range(140)]
+        texts += [" ".join(line[k * 4 : k * 4 + 60]) for k in range(20)]
+    for _ in range(2):
+        centre = [f"v{rng.randint(0, 300)}" for _ in range(120)]
+        texts += [" ".join(w if rng.random() > 0.02 else f"x{rng.random()}" for w in centre) for _ in range(60)]
+    texts += [texts[3], texts[90], "", None, "one", "One"]
+    ids = rng.sample(range(1000), len(texts))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = [simhash.fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] | sets[j])
+        if ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * both:
+            parent[find(i)] = find(j)
+    want = {d: min(e for k, e in enumerate(ids) if find(k) == find(i)) for i, d in enumerate(ids)}
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(documents(spark, texts, ids).repartition(3)).collect()} == want
+
+
 def test_similarity_of_long_texts_is_exact():
     """Texts of far more shingles than a sketch of the least hashes would hold."""
     rng = random.Random(18)
