@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 WINDOW = 10
 #: Distinct windows in the hash set at most: 8 bytes each in the plan.
 SET_LIMIT = 200_000
@@ -85,12 +87,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, set
     """docs without the rows that contain a window of an item; columns and their order stay.
 
     Up to set_limit windows, hashes and words are both looked up inside the scan and nothing is shuffled. Beyond it,
-    documents are told by hits() and leave by an anti-join on doc_id, and rows of null doc_id stay.
+    rows are numbered and written, each is judged by its own text in hits(), and they leave by an anti-join on the number.
     """
     grams = item_windows(items, size)
     if grams.count() > set_limit:
-        bad = hits(docs, items, ["doc_id"], size, set_limit).filter("size(covered) > 0").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        numbered = durable(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("own")))
+        bad = hits(numbered.select("own", F.col("d.text").alias("text")), items, ["own"], size, set_limit).filter("size(covered) > 0")
+        return numbered.join(bad.select("own"), "own", "left_anti").select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
     by_size: dict[int, list] = {}
     for r in grams.select("n", "h", "gram").collect():
         by_size.setdefault(r.n, []).append(r)

@@ -189,6 +189,15 @@ def test_decontamination(spark):
         assert decontam.decontaminate_report(documents(spark, texts), bench.limit(0), set_limit=limit).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontam.SET_LIMIT, 0])
+def test_decontamination_judges_each_row_by_its_own_text(spark, limit):
+    passage = " ".join(f"bench{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    texts = [f"a {passage}", "clean one", f"b {passage} b", "clean two", "clean two", None]
+    kept = decontam.drop_contaminated(documents(spark, texts, [None, None, 7, 7, 7, 8]), bench, set_limit=limit).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.lang, r.n_words) for r in kept) == [("7", "clean two", "en", 1), ("7", "clean two", "en", 1), ("8", "None", "en", 1), ("None", "clean one", "en", 1)]
+
+
 def brute_components(fps, ids):
     least = dict.fromkeys(fps)
     parent = {f: f for f in fps}
