@@ -13,7 +13,8 @@ RECALL.
 
 Defined results: null text counts as empty and has no spans; offsets are code points, ends exclusive; repeated rows
 give repeated rows; an empty table gives an empty table; columns other than the key and the text are not read. Every
-pattern takes linear time; of a very long candidate the network sees the beginning, while its span is whole.
+pattern takes linear time. The network goes over the whole of a long candidate in overlapping windows, the most suspicious of
+which counts; its span is whole.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TRAIN_ROWS, SEED, HELD, EPOCHS, BATCH, RATE, RECALL = 6000, 11, 1 / 3, 6, 64, 2e
 LEFT, BODY, RIGHT = 24, 48, 12
 WIDTH, EMBEDDED, FILTERS = LEFT + BODY + RIGHT, 12, 24
 KERNEL = 5
+#: Characters between the windows of a candidate longer than BODY.
+STEP = BODY // 2
 
 Span = tuple[str, int, int]
 
@@ -91,6 +94,11 @@ def windows(rows: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
+def pieces(a: int, b: int) -> list[tuple[int, int]]:
+    """The candidate, whose beginning windows() takes, and the further bodies that cover the rest of a long one, the last at its end."""
+    return [(a, b), *((s, s + BODY) for s in range(a + STEP, b - BODY, STEP)), *([(b - BODY, b)] if b - a > BODY else [])]
+
+
 class CharCnn:
     """Embedding, one convolution with ReLU, maximum and mean over positions, logistic output; Platt scale and threshold."""
 
@@ -232,7 +240,9 @@ def _judged(net: CharCnn, texts: list[str | None]) -> list[list[tuple[Span, floa
     """All candidates of each text with their probabilities, base spans among them, by start."""
     bases = [base_spans(t) for t in texts]
     spans = [sorted(b + [("token", *c) for c in candidates(t, b)], key=_order) for t, b in zip(texts, bases)]
-    p = net.probability(windows([(t, a, b) for t, own in zip(texts, spans) for _, a, b in own])).tolist()
+    cut = [[(t, x, y) for x, y in pieces(a, b)] for t, own in zip(texts, spans) for _, a, b in own]
+    each = net.probability(windows([w for c in cut for w in c]))
+    p = np.maximum.reduceat(each, np.cumsum([0, *map(len, cut[:-1])])).tolist() if cut else []
     at, out = 0, []
     for own in spans:
         out.append(list(zip(own, p[at : at + len(own)])))

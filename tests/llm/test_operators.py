@@ -156,6 +156,19 @@ def test_secret_network_on_held_out_findings(spark):
     assert {r.doc_id: r.found for r in table} == {0: True, 1: False, 2: True}
 
 
+def test_secrets_at_the_end_of_long_candidates():
+    """The whole of a candidate is seen, not its first characters only."""
+    net, key = secrets.model(), "Zx8Kq2LmP9vT4nRw7YbC3dFgH5jS1uXe6oA0"
+    for filler in ("files/of/the/harbour/office/", "some-words-in-a-row-"):
+        for n in (2, 5, 40):
+            for text in (f"see {filler * n}{key} now", f"see {filler * n}{key}/{filler * n}end now"):
+                (span, p), = secrets._judged(net, [text])[0]
+                assert p >= net.threshold and text[span[1] : span[2]] == text.split()[1]
+            (_, p), = secrets._judged(net, [f"see {filler * n}4 now"])[0]
+            assert p < net.threshold
+    assert secrets.pieces(3, 3 + 48) == [(3, 51)] and secrets.pieces(0, 100) == [(0, 100), (24, 72), (48, 96), (52, 100)]
+
+
 def normal_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(decontam.UPPER, decontam.LOWER)))
 
