@@ -107,8 +107,34 @@ _EVIDENCE = re.compile(r"[0-9@]")
 _WORD_BEFORE = re.compile(r"[^\s:=,;.()\"']+")
 _SPACE = re.compile(r"\s")
 _TRIM = "\"'`,;:!?<>[]{}*&$%#|"
-#: A token longer than this is not looked at as a token.
+#: A token longer than this is cut at punctuation and changes of script, and each piece with evidence is labelled.
 LONGEST = 200
+_LATIN = "A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_PIECE = re.compile(rf"%[0-9A-Fa-f]{{2}}|((?:[{_LATIN}@._+-]|\([0-9+]{{1,5}}\)(?=[0-9-]))+)")
+_RUN = re.compile(rf"[{_LATIN}@]+")
+
+
+def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """The pieces with evidence of a token longer than LONGEST; one that's still longer is cut into its runs of letters and digits."""
+    for m in _PIECE.finditer(text, start, stop):
+        if m[1] is None or not _EVIDENCE.search(m[1]):
+            continue
+        low, high = m.span(1)
+        while low < high and text[low] in ".-_":
+            low += 1
+        while low < high and text[high - 1] in ".-_+":
+            high -= 1
+        if high - low <= LONGEST:
+            yield low, high
+            continue
+        runs: list[tuple[int, int]] = []
+        for r in _RUN.finditer(text, low, high):
+            # Groups of digits that a dot or dash joins stay together.
+            if runs and r.start() == runs[-1][1] + 1 and text[r.start() - 1] in ".-" and r[0].isdecimal() and text[runs[-1][1] - 1].isdecimal() and text[runs[-1][0]].isdecimal():
+                runs[-1] = (runs[-1][0], r.end())
+            else:
+                runs.append(r.span())
+        yield from (r for r in runs if _EVIDENCE.search(text, *r))
 
 
 def evidence(text: str) -> list[tuple[int, int]]:
@@ -116,17 +142,18 @@ def evidence(text: str) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     end, m = 0, _EVIDENCE.search(text)
     while m:
-        at = m.start()
-        low = max(end, at - LONGEST)
-        head = text[low:at]
-        start = low + max([head.rfind(" "), *(s.start() for s in _SPACE.finditer(head))], default=-1) + 1
-        stop = s.start() if (s := _SPACE.search(text, at)) else len(text)
+        start = m.start()
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        stop = s.start() if (s := _SPACE.search(text, m.start())) else len(text)
         end = stop
         while start < stop and text[start] in _TRIM:
             start += 1
         while start < stop and (text[stop - 1] in _TRIM or text[stop - 1] == "."):
             stop -= 1
-        if 0 < stop - start <= LONGEST:
+        if stop - start > LONGEST:
+            found.update(_pieces(text, start, stop))
+        elif start < stop:
             found.add((start, stop))
         m = _EVIDENCE.search(text, end)
     if any(hint in text for hint in _NAME_HINT):

@@ -136,6 +136,21 @@ def test_pii_repetitions_agree(spark):
     assert [r.text for r in masked] == ["mail [EMAIL] now", None, "clean"] and masked[0].n_chars == 16 and masked[0].source == "s"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"note":"' + "v" * 300 + '","ssn":"123-45-6789","n":[' + "1," * 200 + '2],"tax":"987-65-4321"}',
+        "a=b&" * 80 + "ssn=123-45-6789&x=%20" + "y" * 50 + "&identity=%20987-65-4321&z=1",
+        "用户" * 150 + "身份123-45-6789和" + "电话" * 150 + "987-65-4321。",
+        "row," * 70 + "123-45-6789," + "x;" * 100 + "987-65-4321",
+        "log_" * 70 + "ssn_123-45-6789_" + "x-" * 100 + "ssn_987-65-4321_end",
+    ],
+)
+def test_pii_in_long_runs_without_blanks(text):
+    found = pii.model().label([text], [pii.base_spans(text)])[0]
+    assert [text[a:b] for k, a, b in found if k == "id"] == ["123-45-6789", "987-65-4321"]
+
+
 def test_secret_base_equals_the_patterns():
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     rng = random.Random(4)
