@@ -5,7 +5,7 @@ a digit or an @ and capitalised words after a cue such as "Mr." or "name:" toget
 other token is observed as no entity. Evidence tokens have unary features of their form, the words before them and the
 base spans; neighbours share a chain potential; and, however distant, successive repetitions of a token, or tokens equal
 but for case and punctuation, share a skip potential. Sum-product messages run over the loopy graph of all
-documents of a batch at once, and what a label's marginal finds beyond the base spans is added: emails, addresses,
+documents of a batch at once until they settle, and what a label's marginal finds beyond the base spans is added: emails, addresses,
 cards and phones in forms the patterns miss, identity numbers (`id`) and names (`name`).
 
 Training. The weights are those of multinomial pseudo-likelihood (each token given its neighbours' true labels), fitted
@@ -18,6 +18,7 @@ report, and kept as they are by mask(). Every pattern takes linear time on texts
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "name")
 LABELS = ("O", *KINDS)
 TRAIN_SENTENCES, SEED, STEPS, RATE, DECAY = 3000, 7, 250, 0.5, 1e-4
-#: Messages: rounds and damping; the marginal from which a label counts.
-ROUNDS, DAMPING, LEAST = 12, 0.3, 0.9
+#: Messages' damping; the marginal from which a label counts.
+DAMPING, LEAST = 0.3, 0.9
+#: Messages have settled when none changes by more than SETTLED. From round PATIENT on, those that swing are damped more and more.
+SETTLED, PATIENT = 1e-4, 50
 #: Characters between chained tokens at most, and the words before a token that are looked at.
 NEAR, BEFORE = 24, 3
 
@@ -231,15 +234,21 @@ class SkipChain:
         n, m = len(chain), len(skip)
         weight = np.concatenate([np.repeat(w[None], k, axis=0) for w, k in ((self.chain, n), (self.chain.T, n), (self.skip, m), (self.skip.T, m))])
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n), 2 * n + np.arange(m, 2 * m), 2 * n + np.arange(m)])
-        message = np.zeros((len(edges), len(LABELS)))
-        for _ in range(ROUNDS):
+        message, before, rate = np.zeros((len(edges), len(LABELS))), 0.0, np.full((len(edges), 1), 1 - DAMPING)
+        for done in itertools.count(1):
             belief = unary.copy()
             np.add.at(belief, edges[:, 1], message)
             sent = (belief[edges[:, 0]] - message[back])[:, :, None] + weight
             top = sent.max(axis=1, keepdims=True)
             new = top[:, 0] + np.log(np.exp(sent - top).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            change = rate * (new - message)
+            message = message + change
+            if np.abs(change).max() <= SETTLED:
+                break
+            if done > PATIENT:
+                rate[(change * before).sum(axis=1) < 0] *= 0.9
+            before = change
         belief = unary.copy()
         np.add.at(belief, edges[:, 1], message)
         return _softmax(belief)

@@ -151,6 +151,22 @@ def test_pii_in_long_runs_without_blanks(text):
     assert [text[a:b] for k, a, b in found if k == "id"] == ["123-45-6789", "987-65-4321"]
 
 
+def test_pii_messages_reach_any_distance():
+    """On a chain of repetitions the messages are exact, as by products along it; and they settle on loops of opposites."""
+    n, L = 60, len(pii.LABELS)
+    field, unary = pii.SkipChain(None, np.eye(L) * 6, np.eye(L) * 12), np.zeros((n, L))
+    unary[0, 3] = 9
+    got = field.marginals(unary, np.empty((0, 2), np.int64), np.array([(i - 1, i) for i in range(1, n)]))
+    want = np.exp(unary[0])
+    for _ in range(1, n):
+        want = want @ np.exp(field.skip)
+        want /= want.sum()
+    assert np.abs(got[-1] - want).max() < 1e-3
+    odd = pii.SkipChain(None, np.eye(L) * -6, np.eye(L) * 6)
+    ring = np.array([(0, 1), (1, 2), (2, 3), (3, 4)])
+    assert np.isfinite(odd.marginals(unary[:5], ring, np.array([(0, 2), (0, 4), (1, 3)]))).all()
+
+
 def test_secret_base_equals_the_patterns():
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     rng = random.Random(4)
