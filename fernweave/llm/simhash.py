@@ -298,8 +298,12 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def make():
         def run(keys, texts):
-            words = [utf8(t).lower().split() for t in texts]
-            return {key: keys, "fp": [_fingerprint(_hashes(w, 3)) if w else 0 for w in words], "sid": [_sid(sketch(w)) for w in words]}
+            fps, sids = [], []
+            for t in texts:  # one text's words at a time
+                words = utf8(t).lower().split()
+                fps.append(_fingerprint(_hashes(words, 3)) if words else 0)
+                sids.append(_sid(sketch(words)))
+            return {key: keys, "fp": fps, "sid": sids}
 
         return run
 
