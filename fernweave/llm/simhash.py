@@ -275,12 +275,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(held)
 
 
-def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that are SIMILARITY alike; sets: sid, shingles."""
+def _alike(df: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids of df's sets that are SIMILARITY alike."""
     wanted = durable(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    # Only sets that met another are shuffled on.
+    # Only sets that met another leave their task, once each; if they're too many to be told, all leave it and are joined.
     few = wanted.count() <= LOOKED_FOR
-    own = durable(sets.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    told = df.sparkSession.sparkContext.broadcast(frozenset(wanted.toArrow().column("sid").to_pylist()) if few else None)
+
+    def make():
+        seen: set[int] = set()
+
+        def run(texts):
+            out = {"sid": [], "shingles": []}
+            for t in texts:
+                own = sketch(utf8(t).lower().split())
+                sid = _sid(own)
+                if sid not in seen and (told.value is None or sid in told.value):
+                    seen.add(sid)
+                    out["sid"].append(sid)
+                    out["shingles"].append(own)
+            return out
+
+        return run
+
+    sets = map_batches(df, [text], "sid bigint, shingles binary", make)
+    own = durable((sets if few else sets.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"]))
     sided = lambda end: own.select(F.col("sid").alias(end), F.col("shingles").alias(f"{end}_set"))
     judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
     return durable(map_batches(pairs.join(sided("a"), "a").join(sided("b"), "b"), ["a", "b", "a_set", "b_set"], "a bigint, b bigint", judge))
@@ -338,8 +357,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     copies = map_batches(df, [text], "h bigint, sid bigint, n int, at int", make_prefixes)
     met = durable(copies.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h bigint, sid bigint, n bigint, at bigint, first bigint, able boolean"))
-    sets = map_batches(df, [text], "sid bigint, shingles binary", lambda: lambda texts: dict(zip(("sid", "shingles"), map(list, zip(*[(_sid(x), x) for x in (sketch(utf8(t).lower().split()) for t in texts)])))) or {"sid": [], "shingles": []})
-    alike = _alike(sets, durable(met.filter("able").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()))
+    alike = _alike(df, text, durable(met.filter("able").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()))
     # Sets with one fingerprint link anyhow: each with the least of them, which stands for the fingerprint.
     nodes = durable(each.groupBy("fp", "sid").agg(F.min(key).alias("least")))
     stands = durable(nodes.groupBy("fp").agg(F.min("sid").alias("one")))
@@ -354,7 +372,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
     others = x.join(y, apart & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    every = components(roots.unionByName(_alike(sets, durable(others))))
+    every = components(roots.unionByName(_alike(df, text, durable(others))))
     ids = nodes.select(F.col("sid").alias("fp"), "least").groupBy("fp").agg(F.min("least").alias("least"))
     return _named(each.select(key, F.col("sid").alias("fp")), ids, every).select(key, "component_id")
 
