@@ -45,8 +45,8 @@ def chunk_text(text: str, size: int = 220, overlap: int = 40, least: int = 25) -
 
     A chunk is a range of the sentence list, so the state is two indexes over prefix sums of word counts. A sentence
     of `size` words or more is a chunk of its own, and what a chunk before it would have shared comes once more.
-    The last sentence of a chunk is always shared, however long. A last chunk of under `least` words joins the one
-    before it if both fit in `size`.
+    The last sentence of a chunk is always shared, however long, unless `overlap` is 0: then nothing is. A last chunk of
+    under `least` words joins the one before it if both fit in `size`.
     """
     if overlap >= size:
         raise ValueError("chunk_overlap must be smaller than chunk_size")
@@ -56,6 +56,8 @@ def chunk_text(text: str, size: int = 220, overlap: int = 40, least: int = 25) -
 
     def tail(start: int, end: int) -> int:
         """Where the overlap of sentences start..end begins."""
+        if overlap <= 0:
+            return end
         at = end - 1
         while at > start and total[end] - total[at - 1] <= overlap:
             at -= 1
@@ -66,7 +68,7 @@ def chunk_text(text: str, size: int = 220, overlap: int = 40, least: int = 25) -
     for i, n in enumerate(counts):
         if n >= size:
             if start < end:
-                ranges += [(start, end), (tail(start, end), end)]
+                ranges += [r for r in ((start, end), (tail(start, end), end)) if r[0] < r[1]]
             ranges.append((i, i + 1))
             start = i + 1
         elif start < end and total[end] - total[start] + n > size:

@@ -153,6 +153,9 @@ FAILURES = (
     (("timeout", "deadline"), "it timed out"),
 )
 OTHER_FAILURE = "it returned an error"
+# Marks of failures that are tried again; a hosted answering model has one more.
+RETRYABLE = ("429", "rate limit", "resource_exhausted", "503", "500", "unavailable", "deadline")
+RETRYABLE_ANSWERING = (*RETRYABLE, "internal error")
 
 
 def failure_reason(message: str) -> str:
@@ -163,4 +166,4 @@ def failure_reason(message: str) -> str:
 
 def is_retryable(message: str, answering: bool = False) -> bool:
     low = message.lower()
-    return any(m in low for m in ("429", "500", "502", "503", "504", "rate limit", "timeout", "timed out", "unavailable", "overloaded", *(("internal error",) if answering else ())))
+    return any(m in low for m in (RETRYABLE_ANSWERING if answering else RETRYABLE))
