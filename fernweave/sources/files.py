@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,6 +15,7 @@ from ..functions.sentences import reflow
 from ..schema import QUESTION
 
 SUFFIXES = ("txt", "md", "markdown", "pdf")
+_SCHEME = r"^[a-z0-9]+:/*(?=/)"
 
 
 def decoded(content: Column) -> Column:
@@ -31,28 +32,67 @@ def _pdf_text(content: bytes) -> str:
     return "\n\n".join(reflow(p.extract_text() or "") for p in PdfReader(io.BytesIO(content)).pages)
 
 
-def _pdf_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for contents in batches:
-        yield contents.map(_pdf_text).astype(object)
+def _pdf_texts(strict: bool):
+    """Texts of PDF contents, null for null; a file that can't be read fails the job if `strict`, else it's null as well."""
+
+    def one(content: bytes | None) -> str | None:
+        if content is None:
+            return None
+        try:
+            return _pdf_text(content)
+        except RuntimeError:  # the package is missing
+            raise
+        except Exception:
+            if strict:
+                raise
+            return None
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield contents.map(one, na_action="ignore").astype(object)
+
+    return F.pandas_udf(run, "string")
+
+
+def _named(files: DataFrame, root: str | None) -> DataFrame:
+    """files with key (the path below `root`, or the bare name), source (the base name) and suffix."""
+    path = F.regexp_replace(F.col("path"), _SCHEME, "")
+    prefix = None if root is None else re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    key = F.regexp_replace(path, r"^.*/", "") if prefix is None else F.when(path.contains(prefix), F.substring_index(path, prefix, -1)).otherwise(path)
+    named = files.withColumn("key", key).withColumn("source", F.regexp_replace("key", r"^.*/", ""))
+    return named.withColumn("suffix", F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1)))
+
+
+def _raw(strict: bool = True) -> Column:
+    """Text of (content, suffix) in one pass over the files; only PDF contents go to Python."""
+    pdf = F.col("suffix") == "pdf"
+    return F.when(pdf, _pdf_texts(strict)(F.when(pdf, F.col("content")))).otherwise(decoded(F.col("content")))
 
 
 def documents(files: DataFrame, root: str | None = None) -> DataFrame:
     """doc_id, title, text, source, metadata, pos of supported files with text. files: path, content (as binaryFile has them).
 
-    A file's identity is its path below `root`, or its bare name without one; pos follows the paths' order.
+    A file's identity is its path below `root`, or its bare name without one; pos follows the paths' order, component by
+    component. Only keys are sorted, by ranges over all partitions; pos has gaps between the ranges.
     """
-    scheme = r"^[a-z0-9]+:/*(?=/)"
-    path = F.regexp_replace(F.col("path"), scheme, "")
-    prefix = None if root is None else re.sub(scheme, "", root).rstrip("/") + "/"
-    relative = F.regexp_replace(path, r"^.*/", "") if prefix is None else F.when(path.contains(prefix), F.substring_index(path, prefix, -1)).otherwise(path)
-    named = files.select("content", relative.alias("key")).withColumn("source", F.regexp_replace("key", r"^.*/", ""))
-    suffix = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
-    kept = named.withColumn("suffix", suffix).filter(F.col("suffix").isin(*SUFFIXES))
-    plain = kept.filter("suffix <> 'pdf'").withColumn("raw", decoded(F.col("content")))
-    pdf = kept.filter("suffix = 'pdf'").withColumn("raw", F.pandas_udf(_pdf_texts, "string")("content"))
-    both = plain.unionByName(pdf).select("key", "source", "suffix", T.normalize_whitespace(F.col("raw")).alias("text")).filter("text <> ''")
-    placed = both.withColumn("pos", F.row_number().over(Window.orderBy(F.split("key", "/"))).cast("bigint"))
-    return placed.select(T.doc_id_of(F.col("key")).alias("doc_id"), T.title(F.col("text"), F.col("source")).alias("title"), "text", "source", F.create_map(F.lit("suffix"), F.col("suffix")).alias("metadata"), "pos")
+    kept = _named(files, root).filter(F.col("suffix").isin(*SUFFIXES))
+    texts = kept.select("key", "source", "suffix", T.normalize_whitespace(_raw()).alias("text")).filter("text <> ''")
+    placed = kept.select("key").orderBy(F.split("key", "/")).select("key", F.monotonically_increasing_id().alias("pos"))
+    return texts.join(placed, "key").select(T.doc_id_of(F.col("key")).alias("doc_id"), T.title(F.col("text"), F.col("source")).alias("title"), "text", "source", F.create_map(F.lit("suffix"), F.col("suffix")).alias("metadata"), "pos")
+
+
+def uploads(files: DataFrame, max_mb: int) -> DataFrame:
+    """Files as a batch of uploads: doc_id, title, text, source, metadata, pos, and `problem`, null if the file can be indexed.
+
+    files: path, length, content. Names are made harmless, and a file's identity is its name. Contents over the limit are
+    neither decoded nor kept.
+    """
+    own = _named(files, None).withColumn("source", T.safe_filename(F.col("source")))
+    supported, fits = F.col("suffix").isin(*SUFFIXES), F.col("length") <= max_mb << 20
+    kept = own.withColumn("content", F.when(supported & fits, F.col("content")))
+    read = kept.select("source", "suffix", supported.alias("supported"), fits.alias("fits"), T.normalize_whitespace(_raw(False)).alias("text"))
+    problem = F.when(~F.col("supported"), "unsupported file type").when(~F.col("fits"), f"larger than the {max_mb} MB limit").when(F.col("text").isNull(), "the file could not be read").when(F.col("text") == "", "no text found")
+    return read.select(T.doc_id_of(F.col("source")).alias("doc_id"), T.title(F.coalesce("text", F.lit("")), F.col("source")).alias("title"), "text", "source", F.create_map(F.lit("suffix"), F.col("suffix")).alias("metadata"), F.monotonically_increasing_id().alias("pos"), problem.alias("problem"))
 
 
 def load_directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -64,6 +104,10 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     return documents(spark.read.format("binaryFile").load(path))
 
 
+def load_uploads(spark: SparkSession, path: str, max_mb: int) -> DataFrame:
+    return uploads(spark.read.format("binaryFile").load(path), max_mb)
+
+
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation records of a JSON-lines file; an error if it has none."""
     rows = spark.read.schema(QUESTION).json(path).filter(F.col("id").isNotNull())
