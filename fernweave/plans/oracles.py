@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions.sentences import ABBREVIATIONS
 from ..functions.text import CONTENT_STOP_WORDS, INSUFFICIENT_CONTEXT, STOP_WORDS, TAIL_SECTIONS
 from ..operators.answer import NO_ANSWER, NOTHING_FOUND
-from .queries import _CITED, _WIKI
+from .queries import _WIKI
 
 
 def _list(words: list[str]) -> str:
@@ -112,9 +113,10 @@ _COVER = "len(list_filter(words, lambda w: contains(lower(text), w))) / len(word
 _VECTORS = """v AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 hits AS (SELECT * FROM (SELECT a.chunk_id AS qid, b.chunk_id, round(list_dot_product(a.e, b.e), 9) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 9) DESC, b.vec_id) AS INTEGER) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) WHERE rank <= {k})"""
 _SWEEP = ", ".join(_each(f"{mode}_{k}", _hits(source, k), k) for mode, source in (("dense", "dense"), ("lexical", "lexical"), ("hybrid", "fused")) for k in (1, 3, 5, 10))
-_cited = f"'{_CITED} [' || item_id % 12 || ']'"
+_cited = "replace(replace(text, '.', ' [1].'), ',', ' [' || doc_id % 12 || '],')"
 _marks = f"list_transform(regexp_extract_all({_cited}, '\\[(\\d{{1,2}})\\]', 1), lambda d: CAST(d AS INTEGER))"
-_wiki = "regexp_replace(source || '" + _WIKI.replace("\n", "' || chr(10) || '") + rf"', '(?is)\n==+\s*(?:{TAIL_SECTIONS})\s*==+.*$', '')"
+_parts = ["'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _WIKI]
+_wiki = rf"regexp_replace(source || {_parts[0]} || text || {_parts[1]} || text || {_parts[2]}, '(?is)\n==+\s*(?:{TAIL_SECTIONS})\s*==+.*$', '')"
 for _n, _m in ((5, "####"), (4, "###"), (3, "###"), (2, "##")):
     _wiki = rf"regexp_replace({_wiki}, '(?m)^={{{_n}}}\s*(.+?)\s*={{{_n}}}$', '{_m} \1', 'g')"
 _title = _strip(r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\x0B\f\r]+', ' ', 'g')")
@@ -122,6 +124,44 @@ _base = "regexp_replace(url, '^.*/', '')"
 _stem = rf"CASE WHEN regexp_matches({_base}, '^.+\.[^.]+$') THEN regexp_replace({_base}, '\.[^.]+$', '') ELSE {_base} END"
 _suffix = rf"CASE WHEN regexp_matches({_base}, '^.+\.[^.]+$') THEN lower(regexp_extract({_base}, '(\.[^.]+)$', 1)) ELSE '' END"
 
+_words = lambda x: f"regexp_extract_all({x}, '[^ \\t\\n\\x0B\\f\\r]+')"
+
+
+def _split(source: str, key: str) -> str:
+    """CTEs up to `sentences` (key, spos from 1, sentence) of source (key, text): texts are cut at every possible end, and pieces whose end is none join the next."""
+    return rf"""cut AS (SELECT {key}, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT {key}, string_split(regexp_replace(text, '([.!?])(["'')\]]*[ \t\n\x0B\f\r]+)', '\1' || chr(2) || '\2' || chr(1), 'g'), chr(1)) AS p FROM {source})),
+ended AS (SELECT *, lower(rtrim(regexp_extract(string_split(piece, chr(2))[1], '([A-Za-z][A-Za-z.]*)\.$', 1), '.')) AS word FROM cut),
+numbered AS (SELECT {key}, i, replace(piece, chr(2), '') AS piece, coalesce(sum(CASE WHEN contains(piece, chr(2)) AND word <> '' AND (length(word) = 1 OR word IN ({_list(sorted(ABBREVIATIONS))})) THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM ended),
+whole AS (SELECT {key}, g, {_strip("string_agg(piece, '' ORDER BY i)")} AS sentence FROM numbered GROUP BY {key}, g),
+sentences AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY g) AS INTEGER) AS spos, sentence FROM whole WHERE sentence <> '')"""
+
+
+#: The chunker by its ranges of sentences. t: sums of words before each sentence; a: where the chunk begins; i: the next sentence.
+_first = "list_min(list_filter(range(i, n), lambda j: c[j + 1] >= 220 OR (j > a AND t[j + 2] - t[a + 1] > 220)))"
+_tail = "list_min(list_filter(range(a, f), lambda j: j = f - 1 OR t[f + 1] - t[j + 1] <= 40))"
+_CHUNKS = rf"""WITH RECURSIVE paragraphs AS (SELECT doc_id, struct_pack(d := doc_id, p := generate_subscripts(p, 1)) AS k, unnest(p) AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\n[ \t\n\x0B\f\r]*\n', chr(3), 'g'), chr(3)) AS p FROM documents)),
+{_split('paragraphs', 'k')},
+counted AS (SELECT k.d AS doc_id, row_number() OVER (PARTITION BY k.d ORDER BY k.p, spos) AS s, sentence, len({_words('sentence')}) AS w FROM sentences),
+held AS (SELECT doc_id, list(sentence ORDER BY s) AS z, list(w ORDER BY s) AS c, [0] || list(upto ORDER BY s) AS t, count(*) AS n FROM (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY s) AS BIGINT) AS upto FROM counted) GROUP BY doc_id),
+steps AS (SELECT doc_id, 0 AS step, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[][]) AS made, false AS done FROM held
+UNION ALL SELECT doc_id, step + 1, CASE WHEN f IS NULL THEN n WHEN large THEN f + 1 ELSE h END, coalesce(f + 1, n),
+CASE WHEN f IS NULL THEN CASE WHEN a < n THEN [[a, n]] ELSE [] END WHEN large THEN CASE WHEN a < f THEN [[a, f], [h, f], [f, f + 1]] ELSE [[f, f + 1]] END ELSE [[a, f]] END, f IS NULL
+FROM (SELECT *, c[f + 1] >= 220 AS large, {_tail} AS h FROM (SELECT *, {_first} AS f FROM steps JOIN held USING (doc_id) WHERE NOT done))),
+ranges AS (SELECT doc_id, step, generate_subscripts(made, 1) AS m, unnest(made) AS r FROM steps),
+chunks AS (SELECT doc_id, row_number() OVER own AS o, count(*) OVER (PARTITION BY doc_id) AS k, t[r[2] + 1] - t[r[1] + 1] AS w, array_to_string(list_transform(z[r[1] + 1:r[2]], lambda x: x || CASE WHEN regexp_full_match(x, '#{{1,6}}[ \t]+[^\n]*') THEN chr(10) ELSE ' ' END), '') AS x FROM ranges JOIN held USING (doc_id) WINDOW own AS (PARTITION BY doc_id ORDER BY step, m)),
+near AS (SELECT doc_id, o, k, w, left(x, length(x) - 1) AS x, lead(w) OVER own AS w2, lead(left(x, length(x) - 1)) OVER own AS x2, lag(w) OVER own AS w0 FROM chunks WINDOW own AS (PARTITION BY doc_id ORDER BY o)),
+merged AS (SELECT doc_id, o, CASE WHEN o = k - 1 AND w2 < 25 AND w + w2 <= 220 THEN w + w2 ELSE w END AS w, CASE WHEN o = k - 1 AND w2 < 25 AND w + w2 <= 220 THEN x || ' ' || x2 ELSE x END AS x FROM near WHERE NOT (o = k AND k > 1 AND w < 25 AND w0 + w <= 220))
+SELECT doc_id || '::' || (o - 1) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(o - 1 AS INTEGER) AS ordinal, CAST(w AS INTEGER) AS n_words, md5(x) AS digest FROM merged"""
+
+#: Reflow by windows over lines: what stands before and after a line tells whether it's a heading; blank lines and headings begin a paragraph.
+_REFLOW = rf"""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS i, {_strip('unnest(p)')} AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+near AS (SELECT *, lag(x) OVER own AS before, lead(x) OVER own AS after FROM l WHERE x <> '' WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+heads AS (SELECT doc_id, i, len({_words('x')}) <= 8 AND right(x, 1) NOT IN ('.', '!', '?', ':', ';', ',') AND (before IS NULL OR right(before, 1) IN ('.', '!', '?', ':', ';')) AND coalesce(left(after, 1) = upper(left(after, 1)) AND left(after, 1) <> lower(left(after, 1)), false) AS head FROM near),
+grouped AS (SELECT doc_id, i, x, coalesce(head, false) AS head, sum(CASE WHEN x = '' OR head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS heads FROM l LEFT JOIN heads USING (doc_id, i)),
+placed AS (SELECT doc_id, g, i, CASE WHEN head THEN CASE WHEN heads = 1 THEN '# ' ELSE '## ' END || x || chr(10) ELSE CASE WHEN lag(x) OVER own IS NULL OR lag(head) OVER own OR right(lag(x) OVER own, 1) = '-' THEN '' ELSE ' ' END || x END AS part FROM grouped WHERE x <> '' WINDOW own AS (PARTITION BY doc_id, g ORDER BY i)),
+told AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY g) AS page FROM (SELECT doc_id, g, string_agg(part, '' ORDER BY i) AS p FROM placed GROUP BY doc_id, g) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(page, '')) END AS digest FROM documents LEFT JOIN told USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "word_count": r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n_words FROM documents",
     "tokenize_terms": f"SELECT doc_id, array_to_string({_tokens('text')}, ' ') AS terms FROM documents",
@@ -137,9 +177,9 @@ ORACLE_SQL: dict[str, str] = {
     "document_key": "SELECT doc_id, substr(sha1(source || '/' || doc_id || '.txt'), 1, 12) AS key FROM documents",
     "wiki_clean": f"SELECT doc_id, {_strip(rf"regexp_replace({_wiki}, '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM documents",
     "paragraphs": f"SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS place, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {_strip('s')}), lambda s: s <> '') AS p FROM documents)",
-    "strip_headings": f"SELECT doc_id, {_headings_off("'# ' || source || chr(10) || '## Part one' || chr(10) || substr(text, 1, 200) || ' ### tail'", 'source')} AS text FROM documents",
-    "parse_citations": f"SELECT item_id, array_to_string(list_transform(list_filter(list_zip(m, range(1, len(m) + 1)), lambda p: list_position(m, p[1]) = p[2]), lambda p: p[1]), ',') AS cited FROM (SELECT item_id, list_filter({_marks}, lambda n: n BETWEEN 1 AND 8) AS m FROM benchmark)",
-    "strip_invalid_citations": rf"SELECT item_id, regexp_replace({_cited}, '\[(?:0|00|0?[4-9]|[1-9][0-9])\]', '', 'g') AS text FROM benchmark",
+    "strip_headings": f"SELECT doc_id, {_headings_off("'# ' || source || chr(10) || '## Part one' || chr(10) || text || ' ### tail'", 'source')} AS text FROM documents",
+    "parse_citations": f"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(m, range(1, len(m) + 1)), lambda p: list_position(m, p[1]) = p[2]), lambda p: p[1]), ',') AS cited FROM (SELECT doc_id, list_filter({_marks}, lambda n: n BETWEEN 1 AND 8) AS m FROM documents)",
+    "strip_invalid_citations": rf"SELECT doc_id, regexp_replace({_cited}, '\[(?:0|00|0?[4-9]|[1-9][0-9])\]', '', 'g') AS text FROM documents",
     "prompt_build": f"SELECT item_id, {_strip("'Question: ' || text || chr(10) || chr(10) || 'Context passages:' || chr(10) || chr(10) || '[1] T - s.md' || chr(10) || text || chr(10) || chr(10) || '[2] U - u.md' || chr(10) || 'Other.'")} AS prompt FROM benchmark",
     "postings": f"WITH {_BASE} SELECT term, chunk_id, CAST(dl AS INTEGER) AS dl, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM tokens) GROUP BY ALL",
     "term_stats": f"WITH {_BASE}, {_STATS} SELECT term, df, round(idf, 6) AS idf FROM terms",
@@ -154,12 +194,16 @@ ORACLE_SQL: dict[str, str] = {
     "hybrid_topk": f"WITH {_ALL} {_ONE} fused WHERE rank <= 5",
     "source_ablation": f"WITH {_ALL} {_SINGLE}",
     "retrieval_debug": f"WITH {_ALL} SELECT qid, count(*) FILTER (s = 1) AS dense_hits, count(*) FILTER (s = 2) AS lexical_hits, count(*) FILTER (s = 3) AS fused_hits FROM (SELECT qid, 1 AS s FROM dense UNION ALL SELECT qid, 2 FROM lexical UNION ALL SELECT qid, 3 FROM fused WHERE rank <= 20) GROUP BY qid",
+    "rerank": f"WITH {_lexical()}, pairs AS (SELECT qid, chunk_id, CAST(len(list_intersect({_words('question')}, {_words('text')})) AS DOUBLE) AS score FROM lexical JOIN passages USING (chunk_id) JOIN questions USING (qid)) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= 5",
+    "split_sentences": f"WITH {_split('documents', 'doc_id')} SELECT doc_id, spos - 1 AS spos, sentence FROM sentences",
+    "chunk_documents": _CHUNKS,
+    "pdf_reflow": _REFLOW,
     "list_documents": r"SELECT source AS doc_id, source AS title, source, count(*) AS n_chunks, CAST(sum(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))) AS BIGINT) AS n_words, min(doc_id) AS first_pos FROM documents GROUP BY source",
     "index_stats": "SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_documents FROM documents",
     "delete_document": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id FROM documents WHERE source NOT IN ('src3', 'src7')",
     "removed_count": "SELECT count(*) AS n_removed FROM documents WHERE source IN ('src3', 'src7')",
-    "upsert_documents": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, substr(text, 1, 40) AS head FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), substr('new ' || substr(text, 1, 40), 1, 40) FROM documents WHERE doc_id % 2 = 0",
-    "upload_status": "SELECT doc_id, source, status, reason, status <> 'skipped' AS late FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN 'updated' ELSE 'added' END AS status FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'f' || doc_id || ['.md', '.TXT', '.exe', ''][doc_id % 4 + 1] AS source, CASE WHEN doc_id % 4 > 1 THEN 'unsupported file type' WHEN doc_id % 10 = 0 OR trim(text) = '' THEN 'no text found' END AS reason FROM documents WHERE doc_id % 2 = 0 OR doc_id % 7 = 0))",
+    "upsert_documents": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, md5(text) AS digest FROM documents ANTI JOIN pages ON doc_id = page_id UNION ALL SELECT CAST(page_id AS VARCHAR), md5(html) FROM pages",
+    "upload_status": "SELECT doc_id, source, status, reason, status <> 'skipped' AS late FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN doc_id IN (SELECT CAST(page_id AS VARCHAR) FROM pages) THEN 'updated' ELSE 'added' END AS status FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'f' || doc_id || ['.md', '.TXT', '.exe', ''][doc_id % 4 + 1] AS source, CASE WHEN doc_id % 4 > 1 THEN 'unsupported file type' WHEN doc_id % 10 = 0 OR trim(text) = '' THEN 'no text found' END AS reason FROM documents))",
     "hit_rate_at_k": f"{_LEX_EACH} SELECT qid, hit FROM each",
     **{name: f"{_LEX_EACH} SELECT qid, round({column}, 6) AS {column} FROM each" for name, column in (("recall_at_k", "recall"), ("precision_at_k", "precision"), ("ndcg_at_k", "ndcg"), ("mrr", "rr"))},
     "dense_label_metrics": f"WITH {_VECTORS.format(k=20)}, asked AS (SELECT chunk_id AS qid, label FROM v WHERE vec_id % 20 = 0), relevant AS (SELECT qid, chunk_id AS id FROM asked JOIN v USING (label)), {_each('each', _hits('hits'), 10, asked='asked', extra=', label')} SELECT label, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr FROM each GROUP BY label",
@@ -177,5 +221,5 @@ ORACLE_SQL: dict[str, str] = {
     "resolved_citations": f"WITH {_ANSWERS}, cited AS (SELECT qid, CAST(generate_subscripts(marks, 1) - 1 AS INTEGER) AS nth, unnest(marks) AS marker FROM answers) SELECT qid, nth, marker, title, source FROM cited JOIN contexts USING (qid, marker)",
     "answer_by_meaning_gate": f"WITH {_VECTORS.format(k=10)}, placed AS (SELECT qid, chunk_id AS sentence, score, max(score) OVER (PARTITION BY qid) AS best, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) AS place FROM hits WHERE qid <> chunk_id) SELECT qid, place, sentence, round(score, 6) AS similarity FROM placed WHERE place <= 3 AND best >= 0.45 AND score >= greatest(0.45, best - 0.15)",
     "keyword_coverage": f"WITH {_ANSWERS}, {_GOLD} SELECT qid, round(CASE WHEN len(words) > 0 THEN {_COVER} ELSE 0 END, 6) AS coverage FROM gold JOIN answers USING (qid)",
-    "answer_metrics": f"WITH {_ANSWERS}, {_GOLD} SELECT round(coalesce(avg(CASE WHEN len(words) > 0 THEN {_COVER} ELSE 0 END) FILTER (answerable), 0), 6) AS keyword_coverage, round(coalesce(avg(CAST(len(marks) > 0 AS INTEGER)) FILTER (answerable AND NOT abstained), 0), 6) AS citation_rate, round(avg(CAST(answerable <> abstained AS INTEGER)), 6) AS abstention_accuracy FROM gold JOIN answers USING (qid)",
+    "answer_metrics": f"WITH {_ANSWERS}, {_GOLD} SELECT round(coalesce(avg(CASE WHEN len(words) > 0 THEN {_COVER} ELSE 0 END) FILTER (answerable), 0), 6) AS keyword_coverage, round(coalesce(avg(CAST(len(marks) > 0 AS INTEGER)) FILTER (answerable), 0), 6) AS citation_rate, round(avg(CAST(answerable <> abstained AS INTEGER)), 6) AS abstention_accuracy FROM gold JOIN answers USING (qid)",
 }

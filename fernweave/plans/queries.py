@@ -11,6 +11,7 @@ from ..functions import sentences as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answer, bm25, dense, evaluate, fusion, index, retrieve
+from ..operators.sizes import small
 from ..session import prepared
 from ..sources import files
 
@@ -57,8 +58,19 @@ def _rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, id: passages that contain the whole question; the question set is small and given."""
-    return _passages(spark, sf_dir).join(F.broadcast(_questions(spark, sf_dir)), F.contains("text", "question")).select("qid", F.col("chunk_id").alias("id"))
+    """qid, id: passages that contain the whole question.
+
+    Such a passage has the question's tokens but the first and last, which may be cut, in a row: both meet on the second to fourth,
+    and the whole is looked for then. Questions of fewer tokens are held against all passages.
+    """
+    asked = _questions(spark, sf_dir).withColumn("t", T.raw_tokens(F.col("question")))
+    passages = _passages(spark, sf_dir).select("chunk_id", "text")
+    runs = F.expr("array_distinct(transform(sequence(1, greatest(size(t) - 2, 1)), i -> xxhash64(slice(t, i, 3))))")
+    placed = passages.withColumn("t", T.raw_tokens(F.col("text"))).select("chunk_id", "text", F.explode(runs).alias("h"))
+    met = placed.join(small(asked.filter("size(t) >= 5").select("qid", "question", F.xxhash64(F.slice("t", 2, 3)).alias("h"))), "h")
+    rest = passages.join(small(asked.filter("size(t) < 5").select("qid", "question")), F.contains("text", "question"))
+    found = met.filter(F.contains("text", "question")).select("qid", "chunk_id").unionByName(rest.select("qid", "chunk_id"))
+    return found.select("qid", F.col("chunk_id").alias("id"))
 
 
 def _each(spark: SparkSession, sf_dir: str, hits: DataFrame, k: int = K) -> DataFrame:
@@ -132,12 +144,14 @@ def document_key(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", T.doc_id_of(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("key"))
 
 
-_WIKI = "Lead.\n\n\n\n== History ==\nOld.\n=== Early ===\nText\n===== Deep =====\nMore\n== See also ==\n* x"
+_WIKI = ("Lead.\n\n\n\n== History ==\n", "\n=== Early ===\nText\n===== Deep =====\n", "\n== See also ==\n* x")
 
 
 @query
 def wiki_clean(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", T.wiki_clean(F.concat("source", F.lit(_WIKI))).alias("text"))
+    """Every document's text in two sections of a page, before a section that goes."""
+    head, middle, tail = map(F.lit, _WIKI)
+    return _documents(spark, sf_dir).select("doc_id", T.wiki_clean(F.concat("source", head, "text", middle, "text", tail)).alias("text"))
 
 
 @query
@@ -148,23 +162,24 @@ def paragraphs(spark, sf_dir):
 
 @query
 def strip_headings(spark, sf_dir):
-    headed = F.concat(F.lit("# "), "source", F.lit("\n## Part one\n"), F.substring("text", 1, 200), F.lit(" ### tail"))
+    headed = F.concat(F.lit("# "), "source", F.lit("\n## Part one\n"), "text", F.lit(" ### tail"))
     return _documents(spark, sf_dir).select("doc_id", T.strip_headings(headed, F.col("source")).alias("text"))
 
 
-_CITED = "Claim [2]. Another [1]. Repeat [2]. Wrong [9] and [0] and [03]."
+def _cited(spark, sf_dir):
+    """Every document as an answer: a good marker in each sentence, and at each comma one that's good for some documents only."""
+    marked = F.replace(F.replace(F.col("text"), F.lit("."), F.lit(" [1].")), F.lit(","), F.concat(F.lit(" ["), (F.col("doc_id") % 12).cast("string"), F.lit("],")))
+    return _documents(spark, sf_dir).select("doc_id", marked.alias("cited"))
 
 
 @query
 def parse_citations(spark, sf_dir):
-    cited = F.concat(F.lit(_CITED), F.lit(" ["), (F.col("item_id") % 12).cast("string"), F.lit("]"))
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(T.parse_citations(cited, 8), lambda n: n.cast("string")), ",").alias("cited"))
+    return _cited(spark, sf_dir).select("doc_id", F.array_join(F.transform(T.parse_citations(F.col("cited"), 8), lambda n: n.cast("string")), ",").alias("cited"))
 
 
 @query
 def strip_invalid_citations(spark, sf_dir):
-    cited = F.concat(F.lit(_CITED), F.lit(" ["), (F.col("item_id") % 12).cast("string"), F.lit("]"))
-    return _table(spark, sf_dir, "benchmark").select("item_id", T.strip_invalid_citations(cited, 3).alias("text"))
+    return _cited(spark, sf_dir).select("doc_id", T.strip_invalid_citations(F.col("cited"), 3).alias("text"))
 
 
 @query
@@ -296,20 +311,23 @@ def _keyed(spark, sf_dir):
     return _passages(spark, sf_dir).select("chunk_id", F.col("chunk_id").alias("doc_id"), "text", "pos")
 
 
+def _pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("chunk_id"), F.col("page_id").cast("string").alias("doc_id"), F.col("html").alias("text"), F.col("page_id").alias("pos"))
+
+
 @query
 def upsert_documents(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
-    old, batch = rows.filter("pos % 3 <> 0"), rows.filter("pos % 2 = 0")
-    new = batch.withColumn("text", F.concat(F.lit("new "), F.substring("text", 1, 40)))
-    return index.upsert(old, batch, new).select("chunk_id", F.substring("text", 1, 40).alias("head"))
+    """All pages come into an index of all documents; those of a document's id replace it."""
+    batch = _pages(spark, sf_dir)
+    return index.upsert(_keyed(spark, sf_dir), batch, batch).select("chunk_id", F.md5("text").alias("digest"))
 
 
 @query
 def upload_status(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
+    """All documents as files of four kinds, some of them blank, come into an index of all pages."""
     suffix = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".exe", ""))), (F.col("pos") % 4 + 1).cast("int"))
-    batch = rows.filter("pos % 2 = 0 or pos % 7 = 0").select("doc_id", F.concat(F.lit("f"), "doc_id", suffix).alias("source"), F.when(F.col("pos") % 10 == 0, " ").otherwise(F.col("text")).alias("text"), "pos")
-    return index.upload_status(batch, rows.filter("pos % 3 = 0")).select("doc_id", "source", "status", "reason", F.col("place.late").alias("late"))
+    batch = _keyed(spark, sf_dir).select("doc_id", F.concat(F.lit("f"), "doc_id", suffix).alias("source"), F.when(F.col("pos") % 10 == 0, " ").otherwise(F.col("text")).alias("text"), "pos")
+    return index.upload_status(batch, _pages(spark, sf_dir)).select("doc_id", "source", "status", "reason", F.col("place.late").alias("late"))
 
 
 @query
