@@ -28,8 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from .common import durable, map_batches, utf8
+from .common import drop, durable, durable_at, map_batches, release, small, small_batches, utf8
 from .components import components
 
 #: Bits that linked fingerprints may differ in; the anchors are made for this number.
@@ -39,13 +41,14 @@ SEED = 42
 GROUP = 32_768
 #: Up to so many fingerprints at an anchor are compared pairwise in vector form.
 SMALL = 8
-#: For near_groups(): words of a shingle, and the least similarity of linked texts.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Rows whose shingles are counted to tell frequent ones, the count from which one is frequent, and how many are told at most.
-#: These decide what the search costs, not what it finds.
-COUNTED, FREQUENT, TOLD = 20_000, 4, 50_000
-#: Sets that are told to every task to be looked for at most; beyond it they are joined.
-LOOKED_FOR = 1_000_000
+#: For near_groups(): words of a shingle, and the least similarity of linked texts (as a fraction).
+NEAR_SHINGLE, SIMILARITY = 5, (4, 5)
+#: Cells that all shingles are counted in, and of them in one row of the counts. Counts decide what the search costs, not what it finds.
+CELLS, CELL_BLOCK = 1 << 20, 1 << 14
+#: A shingle whose cell counts more is dealt out by SALTS parts of its sets.
+HOT_SHINGLE, SALTS = 2000, 64
+#: Sets that a task remembers at most, so as not to send copies again.
+SEEN = 100_000
 
 
 def _hashes(words: list[bytes], shingle_words: int) -> bytes:
@@ -210,7 +213,7 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     """For every row of df: the key, fp bigint, component_id (the least key reachable, itself included)."""
     each = durable(fingerprints(df, key, text, shingle_words))
     fps = durable(each.groupBy("fp").agg(F.min(key).alias("least")))
-    return _named(each, fps, components(links(fps.select("fp"))))
+    return _named(each, fps, components(links(fps.select("fp")))).drop("root")
 
 
 def simhash_report(df: DataFrame) -> DataFrame:
@@ -218,121 +221,177 @@ def simhash_report(df: DataFrame) -> DataFrame:
     return simhash_groups(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(words: list[bytes]) -> bytes:
+def shingle_set(words: list[bytes]) -> np.ndarray:
     """The 64-bit hashes of all distinct five-word shingles, sorted."""
-    return np.unique(np.frombuffer(_hashes(words, NEAR_SHINGLE), ">u8").astype(np.uint64)).tobytes() if words else b""
+    return np.unique(np.frombuffer(_hashes(words, NEAR_SHINGLE), ">u8").astype(np.uint64)) if words else np.empty(0, np.uint64)
 
 
-def similarity(a: bytes, b: bytes) -> float:
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """The Jaccard similarity of two texts' distinct shingles. Two empty ones are equal."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set in the common order, rare ones first: so many that sets SIMILARITY alike share one of them.
+def _least_shared(n, m):
+    """How many elements sets of n and m share at least if they're SIMILARITY alike."""
+    up, down = SIMILARITY
+    return -(-up * (n + m) // (up + down))
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """Parities of how many elements fall in each of a power of two of cells, two to four for each element, as bits."""
+    cells = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def may_be_alike(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """False only for sets of n and m elements that can't be SIMILARITY alike: an element of one alone changes one parity, so as many differ as there are such elements at most."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    for _ in range(2):
+        while len(a) > len(b):  # folded, parities are those of half the cells
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        a, b = b, a
+    return n + m - int(np.bitwise_count(a ^ b).sum()) >= 2 * _least_shared(n, m)
 
-    frequent: sorted hashes; counts: how often each was met.
-    """
-    n = len(shingles)
-    length = n - (4 * n + 4) // 5 + 1
-    if not n or not len(frequent):
-        return shingles[:length]
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    often = np.where(frequent[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(often, kind="stable")[:length]]
+
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order, those in cells of low count first: so many that sets SIMILARITY alike share one of them."""
+    n, (up, down) = len(shingles), SIMILARITY
+    length = n - -(-up * n // down) + 1
+    return shingles[np.argsort(counts[(shingles % np.uint64(len(counts))).astype(np.int64)], kind="stable")[:length]]
 
 
 def _may_reach(n, at, m, to):
     """Whether sets of n and m shingles that share those at places `at` and `to` of the common order can be SIMILARITY alike."""
     least, rest = (np.minimum, np.minimum(n - at, m - to)) if isinstance(n, np.ndarray) else (F.least, F.least(n - at, m - to))
-    return (5 * least(n, m) >= 4 * (n + m - least(n, m))) & (9 * (least(at, to) + rest) >= 4 * (n + m))
+    up, down = SIMILARITY
+    return (down * least(n, m) >= up * (n + m - least(n, m))) & ((up + down) * (least(at, to) + rest) >= up * (n + m))
+
+
+_MET = "h bigint, salt int, sid bigint, n bigint, at bigint, first bigint, able boolean"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, sid, n, at) sorted by h and sid: one for each sid of a shingle that several have, with `first`, the least of
-    them, and whether the two can be alike."""
-
-    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
-        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        sizes = np.diff(np.r_[starts, len(rows)])
-        several, first = np.repeat(sizes > 1, sizes), rows[np.repeat(starts, sizes)]
-        rows, first = rows[several], first[several]
-        able = _may_reach(rows[:, 2], rows[:, 3], first[:, 2], first[:, 3]) & (rows[:, 1] != first[:, 1])
-        columns = [*(pa.array(rows[:, i]) for i in range(4)), pa.array(first[:, 1]), pa.array(able)]
-        yield pa.RecordBatch.from_arrays(columns, names=["h", "sid", "n", "at", "first", "able"])
-
-    held = np.empty((0, 4), np.int64)
+    """Of rows (h, salt, sid, n, at) sorted by h, salt and sid: each with `first`, the least sid of its h and salt, and whether the two
+    can be alike. Firsts themselves are left out where salt is -1. Two rows of a run are held, so that it may have any number."""
+    least = last = None  # the first row of the run that may go on, and the last row
     for batch in batches:
-        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
-        last = int((held[:, 0] == held[-1, 0]).argmax()) if len(held) else 0  # the last run may go on
-        if last:
-            yield from told(held[:last])
-            held = held[last:]
-    if len(held):
-        yield from told(held)
-
-
-def _alike(df: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids of df's sets that are SIMILARITY alike."""
-    wanted = durable(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
-    # Only sets that met another leave their task, once each; if they're too many to be told, all leave it and are joined.
-    few = wanted.count() <= LOOKED_FOR
-    told = df.sparkSession.sparkContext.broadcast(frozenset(wanted.toArrow().column("sid").to_pylist()) if few else None)
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        fresh = np.r_[last is None or (rows[0, :3] != last[:3]).any(), (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        first = rows[np.repeat(starts, np.diff(np.r_[starts, len(rows)]))]
+        if least is not None:
+            first[(rows[:, :2] == least[:2]).all(axis=1)] = least
+        least, last = first[-1].copy(), rows[-1].copy()
+        other = rows[:, 2] != first[:, 2]
+        kept = fresh & (other | (rows[:, 1] >= 0))
+        rows, first, other = rows[kept], first[kept], other[kept]
+        able = _may_reach(rows[:, 3], rows[:, 4], first[:, 3], first[:, 4]) & other
+        columns = [pa.array(rows[:, 0]), pa.array(rows[:, 1], pa.int32()), *(pa.array(rows[:, i]) for i in range(2, 5)), pa.array(first[:, 2]), pa.array(able)]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "salt", "sid", "n", "at", "first", "able"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, cells) sorted by block to one for each block, the cells' sums."""
+    now, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "cells"])
+    for batch in batches:
+        for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if block != now:
+                if now is not None:
+                    yield row()
+                now, total = block, np.zeros(len(cells) // 4, np.int64)
+            total += np.frombuffer(cells, np.uint32)
+    if now is not None:
+        yield row()
 
-    def make():
-        seen: set[int] = set()
 
-        def run(texts):
-            out = {"sid": [], "shingles": []}
-            for t in texts:
-                own = sketch(utf8(t).lower().split())
-                sid = _sid(own)
-                if sid not in seen and (told.value is None or sid in told.value):
-                    seen.add(sid)
-                    out["sid"].append(sid)
-                    out["shingles"].append(own)
-            return out
+def _read(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each of df: key, th, fp, sid (the id of its set of shingles), n (the set's size), bits (its parities); and
+    a task's shingles counted by cells, a row (n null, th the block, bits the cells) for each block of them. No shuffle."""
+    kind = df.schema[key].dataType
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(struct)
+        counts, row = np.zeros(CELLS, np.uint32), lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        for batch in batches:
+            fps, sids, sizes, bits = [], [], [], []
+            for i in range(batch.num_rows):  # one text's words at a time
+                words = utf8(batch.column(2)[i].as_py()).lower().split()
+                own = shingle_set(words)
+                fps.append(_fingerprint(_hashes(words, 3)) if words else 0)
+                sids.append(_sid(own))
+                sizes.append(len(own))
+                bits.append(parity(own))
+                np.add.at(counts, (own % np.uint64(CELLS)).astype(np.int64), 1)
+            yield row(batch.column(0), batch.column(1), fps, sids, sizes, bits)
+        if counts.any():
+            blocks = range(0, CELLS, CELL_BLOCK)
+            none = [None] * len(blocks)
+            yield row(none, list(blocks), none, none, none, [counts[b : b + CELL_BLOCK].tobytes() for b in blocks])
 
-    sets = map_batches(df, [text], "sid bigint, shingles binary", make)
-    own = durable((sets if few else sets.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"]))
-    sided = lambda end: own.select(F.col("sid").alias(end), F.col("shingles").alias(f"{end}_set"))
-    judge = lambda: lambda a, b, x, y: dict(zip("ab", map(list, zip(*[(i, j) for i, j, u, v in zip(a, b, x, y) if similarity(u, v) >= SIMILARITY])))) or {"a": [], "b": []}
-    return durable(map_batches(pairs.join(sided("a"), "a").join(sided("b"), "b"), ["a", "b", "a_set", "b_set"], "a bigint, b bigint", judge))
+    struct = StructType([StructField(key, kind), *StructType.fromDDL("th bigint, fp bigint, sid bigint, n bigint, bits binary")])
+    return df.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, struct)
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row of df the key and component_id, by links of two kinds.
+def _alike(df: DataFrame, text: str, each: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of ids of sets that are SIMILARITY alike. each: sid, th, n, bits of one text of every set.
 
-    Links of simhash_groups(); and those of texts whose distinct five-word shingles are SIMILARITY alike, all of them. Nodes
-    are the distinct sets of shingles. Two sets that are so alike share a shingle of their prefixes, whatever the common order
-    is; at such a shingle each set is first compared with the least one there, and, once the components of these true links
-    are known, with all others that belong to another component.
+    Parities rule out nearly all others first; only the texts of what's left are read and their shingles compared.
     """
-    kind = df.schema[key].dataType.simpleString()
+    spark = df.sparkSession
+    sided = lambda end: each.select(F.col("sid").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "bits", "th")))
 
-    def make():
-        def run(keys, texts):
-            fps, sids = [], []
-            for t in texts:  # one text's words at a time
-                words = utf8(t).lower().split()
-                fps.append(_fingerprint(_hashes(words, 3)) if words else 0)
-                sids.append(_sid(sketch(words)))
-            return {key: keys, "fp": fps, "sid": sids}
+    def sift():
+        def run(*columns):
+            kept = [(a, b, i, j) for a, b, i, j, n, m, x, y in zip(*columns) if may_be_alike(n, m, x, y)]
+            return {c: [r[k] for r in kept] for k, c in enumerate(("a", "b", "a_th", "b_th"))}
+
+        return run
+
+    names = ["a", "b", "a_th", "b_th", "a_n", "b_n", "a_bits", "b_bits"]
+    left, path = durable_at(map_batches(pairs.join(sided("a"), "a").join(sided("b"), "b"), names, "a bigint, b bigint, a_th bigint, b_th bigint", sift))
+    wanted = small(left.select(F.col("a").alias("sid"), F.col("a_th").alias("th")).unionByName(left.select(F.col("b").alias("sid"), F.col("b_th").alias("th"))).distinct())
+    texts = df.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted.select("th").distinct(), "th", "left_semi").dropDuplicates(["th", "text"])
+    shingled = map_batches(texts, ["text"], "sid bigint, shingles binary", lambda: lambda texts: dict(zip(("sid", "shingles"), zip(*[(_sid(own), own.tobytes()) for own in (shingle_set(utf8(t).lower().split()) for t in texts)]))) or {"sid": [], "shingles": []})
+    sets, sets_path = durable_at(shingled.dropDuplicates(["sid"]))
+    release(spark)
+    of = lambda end: sets.select(F.col("sid").alias(end), F.col("shingles").alias(f"{end}_set"))
+
+    def judge():
+        told = lambda x: np.frombuffer(x, np.uint64)
+
+        def run(a, b, x, y):
+            kept = [similarity(told(u), told(v)) * SIMILARITY[1] >= SIMILARITY[0] for u, v in zip(x, y)]
+            return {"a": [i for i, k in zip(a, kept) if k], "b": [i for i, k in zip(b, kept) if k]}
 
         return run
 
-    each = durable(map_batches(df, [key, text], f"`{key}` {kind}, fp bigint, sid bigint", make))
-    share = max(1, each.count() // COUNTED)
-    counted = map_batches(df.filter(F.pmod(F.xxhash64(text), F.lit(share)) == 0), [text], "shingles array<bigint>", lambda: lambda texts: {"shingles": [np.frombuffer(sketch(utf8(t).lower().split()), np.int64) for t in texts]})
-    often = counted.select(F.explode("shingles").alias("h")).groupBy("h").count().filter(f"count >= {FREQUENT}").orderBy(F.desc("count")).limit(TOLD).toArrow()
-    told = often.column("h").to_numpy().astype(np.int64).view(np.uint64), often.column("count").to_numpy()
-    order = np.argsort(told[0])
-    shared = df.sparkSession.sparkContext.broadcast((told[0][order], told[1][order]))
+    found = durable(map_batches(left.select("a", "b").join(of("a"), "a").join(of("b"), "b"), ["a", "b", "a_set", "b_set"], "a bigint, b bigint", judge))
+    drop(spark, path, sets_path)
+    release(spark)
+    return found
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row of df the key, th (xxhash64 of the text), root (its group) and component_id (the group's least key), by links of two kinds.
+
+    Links of simhash_groups(); and those of texts whose distinct five-word shingles are SIMILARITY alike, all of them. Nodes
+    are the distinct sets of shingles. Two sets that are so alike share a shingle of their prefixes, whatever the common order
+    is; here it's that of all shingles' counts. At such a shingle each set is first compared with the least one there, and, once the
+    components of these true links are known, with all others that belong to another component.
+    """
+    spark = small_batches(df.sparkSession)
+    read, read_path = durable_at(_read(df, key, text))
+    each = read.filter("n is not null").select(key, "th", "fp", "sid", "n", "bits")
+    cells = read.filter("n is null").select(F.col("th").alias("block"), F.col("bits").alias("cells")).repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block bigint, cells binary")
+    counts = np.zeros(CELLS, np.int64)
+    for row in cells.toLocalIterator():  # CELLS numbers in all
+        own = np.frombuffer(row.cells, np.int64)
+        counts[row.block : row.block + len(own)] = own
+    shared = spark.sparkContext.broadcast(counts)
 
     def make_prefixes():
         seen: set[int] = set()
@@ -340,24 +399,31 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         def run(texts):
             sids, hashes, sizes, lengths = [], [], [], []
             for t in texts:
-                own = sketch(utf8(t).lower().split())
+                own = shingle_set(utf8(t).lower().split())
                 sid = _sid(own)
-                if sid not in seen and own:
-                    seen.add(sid)
-                    x = np.frombuffer(own, np.uint64)
-                    h = prefix(x, *shared.value)
+                if sid not in seen and len(own):
+                    if len(seen) < SEEN:  # more copies in one task cost rows, nothing else
+                        seen.add(sid)
+                    h = prefix(own, shared.value)
                     sids.append(sid)
                     hashes.append(h.view(np.int64))
-                    sizes.append(len(x))
+                    sizes.append(len(own))
                     lengths.append(len(h))
             at = np.concatenate([np.empty(0, np.int64), *map(np.arange, lengths)])
-            return {"h": np.concatenate([np.empty(0, np.int64), *hashes]), "sid": np.repeat(np.array(sids, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths), "at": at.astype(np.int32)}
+            h, sid = np.concatenate([np.empty(0, np.int64), *hashes]), np.repeat(np.array(sids, np.int64), lengths)
+            salt = np.where(shared.value[(h.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > HOT_SHINGLE, sid.view(np.uint64) % np.uint64(SALTS), -1).astype(np.int32) if len(h) else np.empty(0, np.int32)
+            return {"h": h, "salt": salt, "sid": sid, "n": np.repeat(np.array(sizes, np.int32), lengths), "at": at.astype(np.int32)}
 
         return run
 
-    copies = map_batches(df, [text], "h bigint, sid bigint, n int, at int", make_prefixes)
-    met = durable(copies.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(_shared, "h bigint, sid bigint, n bigint, at bigint, first bigint, able boolean"))
-    alike = _alike(df, text, durable(met.filter("able").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()))
+    copies = map_batches(df, [text], "h bigint, salt int, sid bigint, n int, at int", make_prefixes)
+    met, met_path = durable_at(copies.repartition("h", "salt").sortWithinPartitions("h", "salt", "sid").mapInArrow(_shared, _MET))
+    release(spark)
+    sets, sets_path = durable_at(each.groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    # The firsts of a salted shingle are compared with the least of them.
+    firsts = met.filter("salt >= 0 and sid = first").select("h", "sid")
+    tops = firsts.join(firsts.groupBy("h").agg(F.min("sid").alias("top")), "h").filter("sid <> top").select(F.col("top").alias("a"), F.col("sid").alias("b"))
+    alike = _alike(df, text, sets, met.filter("able").select(F.col("first").alias("a"), F.col("sid").alias("b")).unionByName(tops).distinct())
     # Sets with one fingerprint link anyhow: each with the least of them, which stands for the fingerprint.
     nodes = durable(each.groupBy("fp", "sid").agg(F.min(key).alias("least")))
     stands = durable(nodes.groupBy("fp").agg(F.min("sid").alias("one")))
@@ -365,31 +431,41 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     end = lambda c: stands.select(F.col("fp").alias(c), F.col("one").alias(f"{c}_one"))
     linked = links(stands.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
     roots = components(by_fp.unionByName(linked).unionByName(alike))
+    release(spark)
     # What's left: at each shingle, the pairs of different components, but for those with the least set, which were compared.
-    placed = met.filter("sid <> first").join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = met.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    left = durable(placed.join(mixed, "h").select("h", "sid", "n", "at", "root"))
+    left, left_path = durable_at(placed.join(mixed, "h").select("h", "sid", "n", "at", "root"))
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
     others = x.join(y, apart & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    every = components(roots.unionByName(_alike(df, text, durable(others))))
+    every = components(roots.unionByName(_alike(df, text, sets, others)))
     ids = nodes.select(F.col("sid").alias("fp"), "least").groupBy("fp").agg(F.min("least").alias("least"))
-    return _named(each.select(key, F.col("sid").alias("fp")), ids, every).select(key, "component_id")
+    told = durable(_named(each.select(key, "th", F.col("sid").alias("fp")), ids, every).select(key, "th", "root", "component_id"))
+    drop(spark, read_path, met_path, sets_path, left_path)
+    release(spark)
+    return told
 
 
-def _sid(shingles: bytes) -> int:
+def _sid(shingles: np.ndarray) -> int:
     """The id of a set of shingles."""
-    return int.from_bytes(xxhash.xxh64_digest(shingles, SEED), "big", signed=True)
+    return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes(), SEED), "big", signed=True)
 
 
 def _named(each: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
-    """each with component_id; fps: fp, least; linked: a node and the least node of its component."""
+    """each with root (the least node of its component) and component_id; fps: fp, least; linked: a node and the least node of its component."""
     roots = fps.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select(*each.columns, "component_id")
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return each.join(named, "fp").select(*each.columns, "root", "component_id")
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """df with one row of each group of near_groups(): the row of least doc_id. Of rows with the same doc_id one stays; rows with null doc_id stay."""
-    kept = near_groups(df).filter("doc_id = component_id").select("doc_id").distinct()
-    return df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(df.columns).unionByName(df.filter("doc_id is null"))
+    """df with one row of each group of near_groups(): the row of least doc_id.
+
+    Of rows of that doc_id, if the group has several, the one of least text hash stays, and of equal ones the least by all
+    columns. Rows that share a doc_id but belong to different groups are judged each in its own. Rows with null doc_id stay.
+    """
+    kept = near_groups(df).filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th").distinct()
+    own = df.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.struct(*df.columns).alias("row")).filter("doc_id is not null")
+    one = own.join(kept, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min("row").alias("row"))
+    return one.select("row.*").unionByName(df.filter("doc_id is null"))

@@ -321,14 +321,17 @@ def test_near_groups_keep_one(spark):
     other = [f"v{rng.randint(0, 400)}" for _ in range(300)]
     df = documents(spark, [" ".join(words), " ".join(near), " ".join(words), " ".join(other), None, "", "x"], [5, 6, 7, 8, 9, 10, None])
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {5, 8, 9, None}
-    a, b = simhash.sketch([w.encode() for w in words]), simhash.sketch([w.encode() for w in near])
-    assert simhash.similarity(a, a) == 1 and 0.9 < simhash.similarity(a, b) < 1 and simhash.similarity(b"", b"") == 1
+    a, b, none = (simhash.shingle_set([w.encode() for w in t]) for t in (words, near, []))
+    assert simhash.similarity(a, a) == 1 and 0.9 < simhash.similarity(a, b) < 1 and simhash.similarity(none, none) == 1
 
 
-@pytest.mark.parametrize("frequent", [simhash.FREQUENT, 1])
-def test_near_groups_miss_no_pair(spark, frequent, monkeypatch):
-    """Chains in which only neighbours are 0.8 alike, and crowds of texts around a common one, against all pairs."""
-    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+@pytest.mark.parametrize("cells, hot", [(simhash.CELLS, simhash.HOT_SHINGLE), (1 << 14, 20), (1 << 14, 0)])
+def test_near_groups_miss_no_pair(spark, cells, hot, monkeypatch):
+    """Chains in which only neighbours are 0.8 alike, and crowds of texts around a common one, against all pairs; with exact and with rough counts, and with salted shingles."""
+    monkeypatch.setattr(simhash, "CELLS", cells)
+    monkeypatch.setattr(simhash, "HOT_SHINGLE", hot)
+    monkeypatch.setattr(simhash, "SALTS", 3)
+    monkeypatch.setattr(simhash, "SEEN", 5)
     rng = random.Random(19)
     texts = []
     for _ in range(4):
@@ -364,7 +367,32 @@ def test_similarity_of_long_texts_is_exact():
         words = [f"w{rng.random()}".encode() for _ in range(3000)]
         near = [w if rng.random() > share else b"changed" for w in words]
         x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, near))
-        assert simhash.similarity(simhash.sketch(words), simhash.sketch(near)) == len(x & y) / len(x | y)
+        a, b = simhash.shingle_set(words), simhash.shingle_set(near)
+        assert simhash.similarity(a, b) == len(x & y) / len(x | y)
+
+
+def test_parities_rule_out_no_alike_pair():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for n in (1, 3, 40, 63, 64, 65, 500, 5000):
+        for share in (0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            for more in (1, 1.2, 1.26):
+                x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                y = np.unique(np.r_[x[rng.random(len(x)) >= share], rng.integers(0, 1 << 63, int(n * (share + more - 1))).astype(np.uint64)])
+                can = simhash.may_be_alike(len(x), len(y), simhash.parity(x), simhash.parity(y))
+                assert can or simhash.similarity(x, y) < 0.8
+                ruled_out += not can
+    assert ruled_out > 60 and simhash.may_be_alike(0, 0, simhash.parity(x[:0]), simhash.parity(x[:0]))
+
+
+def test_keep_one_among_rows_of_one_id(spark):
+    """Rows that share a doc_id are judged in their own groups; of equal ones the least by all columns stays."""
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "alpha beta gamma delta epsilon zeta", "one two three four five six seven", None]
+    df = documents(spark, texts, [1, 1, 2, 1, None]).withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
+    want = {(1, texts[0]), (1, texts[1]), (None, None)}
+    for n in (1, 3):
+        got = simhash.keep_one(df.repartition(n))
+        assert got.columns == df.columns and {(r.doc_id, r.text) for r in got.collect()} == want and got.count() == 3
 
 
 @pytest.mark.parametrize("hot", [500, 1])
