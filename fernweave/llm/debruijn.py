@@ -1,20 +1,26 @@
 """Substring dedup by de Bruijn compaction (operator 7).
 
-The graph's edges are token k-mers of 50 words; a document is a walk. Edges are dealt out by their minimizer (the
-least hash among their 10-word parts), so that all occurrences of an edge meet, and the successive edges of a
-walk that share a minimizer travel as one row, a run: one shuffle of about 9 bytes an edge. Where a run's edges meet
-their other occurrences, each edge gets its source, the occurrence in the smallest document. Stretches of successive
-edges that all have a smaller source compact to one span (document, first word, end), and the spans of a document are
-brought back to its text by a join on its id, where words that a span covers are removed.
-
-An edge is told by its minimizer's and its own 64-bit hash together, so that equal means 128 equal bits. Copies of
-an edge within one document are no sources, since only a smaller doc_id is one.
-
-Hot passages. One pass before counts, for each batch of documents, minimizers and edges that occur often in it, and the
-smallest document of each such edge; the sums' HOT_KEYS largest entries over HOT_RUNS go to all tasks (a
-proven bound). Occurrences of a hot edge beyond that document are decided where they're read and never
-shuffled, and the other edges of a hot minimizer are dealt out by their own hash. So no group grows with a passage that
-many documents share, and no result depends on what was found hot.
+Edges of the graph are token k-mers of 50 words, nodes their 49-word ends; a document is a walk. A node is told by a 64-bit
+hash, an edge by its two nodes. Nodes are dealt out by their minimizer (the least hash among their 10-word parts), so that
+all occurrences of a node meet, each with the nodes before and after it; successive nodes of a walk that share a
+minimizer travel as one row, a run. That makes one shuffle of about 9 bytes an edge.
+
+Where they meet, a node's degrees are counted: it's inner if every occurrence has the same node before it, and the same
+one after it. Branching nodes, and ends of documents, cut the paths. An edge that several documents have is repeated, and its
+source is the least of its occurrences (document, text, first word). Successive repeated edges that only inner nodes part
+have their occurrences in common; they make a piece, told once, at its source.
+
+Compaction. Pieces end where another minimizer's nodes begin. A piece that begins at an inner node is joined to the one that
+ends there, by node and source coordinates; joined pieces make a path. All occurrences of a path's first edge in
+documents beyond the source's are spans to remove, as long as the path.
+
+Verification. The words of every span, and of every path at its source, are read from the texts, and their SHA-256 must
+agree. If they don't, or if a piece finds no other to join, two k-mers have one hash, and all is done anew with another seed.
+
+Hot minimizers. One pass before counts all runs of every minimizer; those with over HOT_RUNS (the HOT_KEYS largest of them, so
+that what's sent to all tasks is bounded, and the rest have no more than a HOT_KEYS-th of all runs) aren't grouped in a task: their
+nodes' degrees and their edges' sources are grouped sums and minima, combined before the shuffle, and their occurrences are found by
+joins that adaptive execution can split. What's hot decides the plan, not the result.
 
 Defined results: null or empty text has no words; documents of under 50 words keep all; a null doc_id is no
 source and loses nothing; rows that share a doc_id are no sources of each other; repeated rows give repeated rows; an
@@ -27,19 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, sha256_hex, utf8
+from .common import drop, durable_at, map_batches, release, sha256_hex, utf8
 
 WINDOW, PART = 50, 10
+NODE = WINDOW - 1
 SLAB = 1 << 20
-#: A run has so many edges at most.
+#: A run has so many nodes at most.
 RUN = 256
-#: A minimizer or edge is hot if batches that have it BATCH_HOT times have it over HOT_RUNS times in all; at most HOT_KEYS are kept.
-BATCH_HOT, HOT_RUNS, HOT_KEYS = 8, 500, 20_000
+#: A minimizer with more runs is hot; so many hot ones are told to all tasks at most.
+HOT_RUNS, HOT_KEYS = 1000, 1 << 20
+#: Seeds that are tried.
+SEEDS = 5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -77,220 +85,275 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if width < size else x
 
 
-def edges(text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first word, minimizers, hashes) of a text's edges, a slab at a time."""
+def walk(text: str | None, seed: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A text's nodes, a slab at a time: the first one's word, their minimizers, and their hashes with those of the node before and the node after; 0 stands beyond the text."""
     words = utf8(text).split()
     if len(words) < WINDOW:
         return
     digest = xxhash.xxh64_digest
-    hashed = np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64)
-    for at in range(0, len(words) - WINDOW + 1, SLAB):
-        own = hashed[at : at + SLAB + WINDOW - 1]
-        yield at, _least(_rolling(own, PART), WINDOW - PART + 1), _rolling(own, WINDOW)
-
-
-def _runs(minimizers: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of equal minimizers, no longer than RUN; also cut where `cut` is true."""
+    hashed = np.frombuffer(b"".join([digest(w, seed) for w in words]), ">u8").astype(np.uint64)
+    n = len(words) - NODE + 1
+    for at in range(0, n, SLAB):
+        to = min(at + SLAB, n)
+        low, high = max(at - 1, 0), min(to + 1, n)
+        own = np.maximum(_rolling(hashed[low : high + NODE - 1], NODE), np.uint64(1))
+        beyond = np.zeros(1, np.uint64)
+        whole = np.concatenate([*([beyond] if low == at else []), own, *([beyond] if high == to else [])])
+        yield at, _least(_rolling(hashed[at : to + NODE - 1], PART), NODE - PART + 1), whole
+
+
+def _runs(minimizers: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal minimizers, no longer than `longest`."""
     new = np.r_[True, minimizers[1:] != minimizers[:-1]]
-    if cut is not None:
-        new |= cut
     starts = np.flatnonzero(new)
     sizes = np.diff(np.r_[starts, len(minimizers)])
-    if sizes.max() > RUN:
-        new[np.concatenate([np.arange(s, s + n, RUN) for s, n in zip(starts, sizes)])] = True
+    if sizes.max() > longest:
+        new[np.concatenate([np.arange(s, s + n, longest) for s, n in zip(starts, sizes)])] = True
         starts = np.flatnonzero(new)
     return starts, np.r_[starts[1:], len(minimizers)]
 
 
-def _edge_key(minimizers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return _mix(minimizers * _STEP ^ hashes)
-
-
-def _frequent(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that occur BATCH_HOT times, their counts and smallest documents."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    n = np.diff(np.r_[starts, len(keys)])
-    often = n >= BATCH_HOT
-    return keys[starts[often]], n[often], docs[starts[often]]
-
-
-def _hot(docs: DataFrame, hot_runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hot minimizers; hot edges' keys, and for each a document that has it. Sorted."""
+def _hot(docs: DataFrame, seed: int, hot_runs: int) -> np.ndarray:
+    """The minimizers with more than hot_runs runs, sorted."""
 
     def make():
         def run(ids, texts):
-            minimizer, hashed, doc = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            first = [np.empty(0, bool)]
-            for d, t in zip(ids, texts):
-                for _, m, h in edges(t) if d is not None else ():
-                    minimizer.append(m)
-                    hashed.append(h)
-                    doc.append(np.full(len(m), d, np.int64))
-                    first.append(np.r_[True, m[1:] != m[:-1]])
-            minimizer, hashed, doc, first = map(np.concatenate, (minimizer, hashed, doc, first))
-            keys, n, least = _frequent(minimizer[first], doc[first])
-            own = np.isin(minimizer, keys)
-            edge, count, source = _frequent(_edge_key(minimizer[own], hashed[own]), doc[own])
-            return {"edge": [False] * len(keys) + [True] * len(edge), "key": np.r_[keys, edge].view(np.int64).tolist(), "n": np.r_[n, count].tolist(), "doc": np.r_[least, source].tolist()}
+            found = [m[_runs(m, RUN)[0]] for d, t in zip(ids, texts) if d is not None for _, m, _ in walk(t, seed)]
+            keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            return {"key": keys.view(np.int64), "n": n}
 
         return run
 
-    found = map_batches(docs, ["doc_id", "text"], "edge boolean, key bigint, n bigint, doc bigint", make)
-    sums = found.groupBy("edge", "key").agg(F.sum("n").alias("n"), F.min("doc").alias("doc")).filter(F.col("n") > hot_runs)
-    top = sums.orderBy(F.desc("n"), "edge", "key").limit(HOT_KEYS).collect()
-    minimizers = np.sort(np.array([r.key for r in top if not r.edge], np.int64).view(np.uint64))
-    keys = np.array([r.key for r in top if r.edge], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return minimizers, keys[order], np.array([r.doc for r in top if r.edge], np.int64)[order]
+    sums = map_batches(docs, ["doc_id", "text"], "key bigint, n bigint", make).groupBy("key").agg(F.sum("n").alias("n"))
+    top = sums.filter(F.col("n") > hot_runs).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toArrow()
+    return np.sort(top.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of x are in the sorted `known`, and where."""
-    if not len(known):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return known[at] == x, at
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted `known`."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-_RUN_SCHEMA = "key bigint, doc_id bigint, th bigint, first bigint, size int, hashes binary"
+_RUN_SCHEMA = "key bigint, doc_id bigint, th bigint, first bigint, nodes binary"
 
 
-def _to_runs(hot):
-    """Of (doc_id, th, text): runs, and stretches of edges that are already sure (hashes null; dealt out evenly)."""
+def _to_runs(hot, seed: int):
+    """Of (doc_id, th, text): the runs of minimizers that aren't hot."""
 
     def make():
-        minimizers, hot_edges, sources = hot.value
+        known = hot.value
 
         def run(ids, hashes, texts):
-            key, doc, th, first, size, payload = ([] for _ in range(6))
+            key, doc, th, first, nodes = ([] for _ in range(5))
+            for d, t, text in zip(ids, hashes, texts):
+                for at, m, h in walk(text, seed) if d is not None else ():
+                    starts, ends = _runs(m, RUN)
+                    cool = ~_among(m[starts], known)
+                    starts, ends = starts[cool], ends[cool]
+                    raw = h.tobytes()
+                    key.extend(m[starts].view(np.int64).tolist())
+                    first.extend((starts + at).tolist())
+                    nodes.extend([raw[8 * a : 8 * b + 16] for a, b in zip(starts.tolist(), ends.tolist())])
+                    doc.extend([d] * len(starts))
+                    th.extend([t] * len(starts))
+            return {"key": key, "doc_id": doc, "th": th, "first": first, "nodes": nodes}
+
+        return run
+
+    return make
+
+
+_NODE_SCHEMA = "before bigint, head bigint, second bigint, doc_id bigint, th bigint, first bigint"
 
-            def put(keys, starts, ends, d, t, at, packed):
-                key.extend(keys)
-                first.extend((starts + at).tolist())
-                size.extend((ends - starts).tolist())
-                doc.extend([d] * len(starts))
-                th.extend([t] * len(starts))
-                payload.extend(packed)
 
+def _to_nodes(hot, seed: int):
+    """Of (doc_id, th, text): each node of a hot minimizer, with the nodes before and after it."""
+
+    def make():
+        known = hot.value
+
+        def run(ids, hashes, texts):
+            parts = []
             for d, t, text in zip(ids, hashes, texts):
-                for at, m, h in edges(text) if d is not None else ():
-                    hot_one, _ = _among(m, minimizers)
-                    if hot_one.any():
-                        edge = _edge_key(m, h)
-                        known, where = _among(edge, hot_edges)
-                        sure = hot_one & known
-                        sure[sure] = sources[where[sure]] < d
-                        starts = np.flatnonzero(sure & ~np.r_[False, sure[:-1]])
-                        ends = np.flatnonzero(sure & ~np.r_[sure[1:], False]) + 1
-                        put(edge[starts].view(np.int64).tolist(), starts, ends, d, t, at, [None] * len(starts))
-                        alone = np.flatnonzero(hot_one & ~sure)
-                        put(edge[alone].view(np.int64).tolist(), alone, alone + 1, d, t, at, [h[i : i + 1].tobytes() for i in alone])
-                        starts, ends = _runs(m, np.r_[True, hot_one[1:] != hot_one[:-1]])
-                        cool = ~hot_one[starts]
-                        starts, ends = starts[cool], ends[cool]
-                    else:
-                        starts, ends = _runs(m)
-                    raw = h.tobytes()
-                    put(m[starts].view(np.int64).tolist(), starts, ends, d, t, at, [raw[8 * a : 8 * b] for a, b in zip(starts.tolist(), ends.tolist())])
-            return {"key": key, "doc_id": doc, "th": th, "first": first, "size": size, "hashes": payload}
+                for at, m, h in walk(text, seed) if d is not None else ():
+                    own = np.flatnonzero(_among(m, known))
+                    h = h.view(np.int64)
+                    parts.append(np.stack([h[own], h[own + 1], h[own + 2], np.full(len(own), d, np.int64), np.full(len(own), t, np.int64), own + at]))
+            whole = np.concatenate([np.empty((6, 0), np.int64), *parts], axis=1)
+            return dict(zip(("before", "head", "second", "doc_id", "th", "first"), whole))
 
         return run
 
     return make
 
 
-def _spans(keys: np.ndarray, docs: np.ndarray, th: np.ndarray, first: np.ndarray, payload: list[bytes]):
-    """Of whole groups, sorted by key and document: (doc, th, first word, end) of stretches of edges with a smaller source."""
+#: occurs: whether it's an occurrence of a path's first edge (head, second) or a piece, which has a tail, n edges, whether it begins at an inner node, and its source.
+_FOUND = ["occurs", "head", "second", "tail", "n", "inner", "doc_id", "th", "first"]
+_FOUND_SCHEMA = "occurs boolean, head bigint, second bigint, tail bigint, n bigint, inner boolean, doc_id bigint, th bigint, first bigint"
+
+
+def _paths(key: np.ndarray, doc: np.ndarray, th: np.ndarray, first: np.ndarray, payload: list[bytes]) -> pa.RecordBatch:
+    """Pieces, and occurrences of first edges, of all runs of some minimizers."""
     h = np.frombuffer(b"".join(payload), np.uint64)
-    size = np.fromiter(map(len, payload), np.int64, len(payload)) // 8
+    size = np.fromiter(map(len, payload), np.int64, len(payload)) // 8 - 2
     row = np.repeat(np.arange(len(size)), size)
-    mixed = h ^ _mix(keys.view(np.uint64))[row]
-    order = np.argsort(mixed, kind="stable")  # ties stay sorted by document
-    sorted_row = row[order]
-    ordered = mixed[order]
-    new = np.r_[True, (ordered[1:] != ordered[:-1]) | (keys[sorted_row[1:]] != keys[sorted_row[:-1]])]
-    source = docs[sorted_row[np.flatnonzero(new)]][np.cumsum(new) - 1]
-    repeated = np.empty(len(h), bool)
-    repeated[order] = docs[sorted_row] > source
-    new_row = np.r_[True, row[1:] != row[:-1]]
-    begins = np.flatnonzero(repeated & (new_row | ~np.r_[False, repeated[:-1]]))
-    ends = np.flatnonzero(repeated & (np.r_[new_row[1:], True] | ~np.r_[repeated[1:], False]))
-    at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-    own = row[begins]
-    return docs[own], th[own], first[own] + at[begins], first[own] + at[ends] + WINDOW
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    at = place + 1 + np.repeat(np.cumsum(size + 2) - size - 2, size)
+    before, node, after = h[at - 1], h[at], h[at + 1]
+    doc, th, first = doc[row], th[row], first[row] + place
+    mixed = node ^ _mix(key.view(np.uint64))[row]
+    order = np.lexsort((first, th, doc, after, mixed))
+    new_node = np.r_[True, (mixed[order][1:] != mixed[order][:-1]) | (key[row][order][1:] != key[row][order][:-1])]
+    new_edge = new_node | np.r_[True, after[order][1:] != after[order][:-1]]
+    starts = np.flatnonzero(new_node)
+    alone = lambda x: np.minimum.reduceat(x[order], starts) == np.maximum.reduceat(x[order], starts)
+    some = lambda x: np.minimum.reduceat(x[order], starts) > 0
+    inner = np.empty(len(order), bool)
+    inner[order] = (alone(before) & alone(after) & some(before) & some(after))[np.cumsum(new_node) - 1]
+    edge, edges = np.cumsum(new_edge) - 1, np.flatnonzero(new_edge)
+    least, last = order[edges], order[np.r_[edges[1:], len(order)] - 1]
+    source, repeated = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    source[order], repeated[order] = least[edge], (doc[least] < doc[last])[edge]
+    repeated &= after > 0
+    begins = np.flatnonzero(repeated & ((place == 0) | ~inner | ~np.r_[False, repeated[:-1]]))
+    # A piece ends before the next one's beginning, before an edge that isn't repeated, or with its run.
+    stops = np.flatnonzero(np.r_[(~repeated | (place == 0))[1:], True])
+    ends = np.minimum(stops[np.searchsorted(stops, begins)] + 1, np.r_[begins[1:], len(order)]) if len(begins) else begins
+    told = source[begins] == begins
+    piece, end = begins[told], ends[told]
+    occurs = begins[~inner[begins] & (doc[begins] > doc[source[begins]])]
+    both = np.r_[piece, occurs]
+    none = np.zeros(len(occurs), np.int64)
+    columns = [np.r_[np.zeros(len(piece), bool), np.ones(len(occurs), bool)], node[both].view(np.int64), after[both].view(np.int64), np.r_[after[end - 1].view(np.int64), none], np.r_[end - piece, none], inner[both], doc[both], th[both], first[both]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_FOUND)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by key and document to spans; the last group of a batch may go on in the next."""
-    held = None
+    """Runs sorted by key to what _paths() tells of them; the last key of a batch may go on in the next."""
+    held: list[list] = []  # parts of what isn't done yet: keys, documents, text hashes, first words, nodes
+
+    def done(parts: list[list]) -> pa.RecordBatch:
+        return _paths(*(np.concatenate([p[i] for p in parts]) for i in range(4)), [x for p in parts for x in p[4]])
+
     for batch in batches:
-        sure = batch.filter(pa.compute.is_null(batch.column(5)))
-        if sure.num_rows:
-            _, doc, th, first, size = (sure.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            yield _span_batch((doc, th, first, first + size + WINDOW - 1))
-            batch = batch.filter(pa.compute.is_valid(batch.column(5)))
         if not batch.num_rows:
             continue
-        now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), batch.column(5).to_pylist()]
-        held = now if held is None else [*(np.concatenate(x) for x in zip(held[:4], now[:4])), held[4] + now[4]]
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield _span_batch(_spans(*(x[:last] for x in held)))
-            held = [x[last:] for x in held]
-    if held is not None:
-        yield _span_batch(_spans(*held))
-
-
-def _span_batch(spans) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["doc_id", "th", "first", "end"])
-
-
-def repeated_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, th, first, end): spans of words of which each is covered by a window that starts in a smaller document as well. th: xxhash64 of the text."""
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, hot_runs))
+        now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), batch.column(4).to_pylist()]
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        if held and (last or held[-1][0][-1] != now[0][0]):
+            ready, held = [*held, [x[:last] for x in now]], []
+            yield done(ready)
+        elif last:
+            yield done([[x[:last] for x in now]])
+        held.append([x[last:] for x in now])
+    if held:
+        yield done(held)
+
+
+def _hot_paths(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """What _paths() tells, of nodes of hot minimizers (durable): each edge is a piece of its own. And the folders it rests on."""
+    one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0) & (F.max(c) != 0)
+    nodes = rows.groupBy("head").agg((one("before") & one("second")).alias("inner"))
+    edges = rows.filter("second <> 0").groupBy("head", "second").agg(F.min(F.struct("doc_id", "th", "first")).alias("s"), F.max("doc_id").alias("last")).filter("s.doc_id < last")
+    pieces, path = durable_at(edges.join(nodes, "head").select("head", "second", "inner", "s"))
+    told = pieces.select(F.lit(False).alias("occurs"), "head", "second", F.col("second").alias("tail"), F.lit(1).cast("bigint").alias("n"), "inner", "s.doc_id", "s.th", "s.first")
+    later = rows.join(pieces.filter("not inner").select("head", "second", F.col("s.doc_id").alias("source")), ["head", "second"]).filter("doc_id > source")
+    zero = F.lit(0).cast("bigint")
+    return told.unionByName(later.select(F.lit(True).alias("occurs"), "head", "second", zero.alias("tail"), zero.alias("n"), F.lit(False).alias("inner"), "doc_id", "th", "first")), [path]
+
+
+def _compacted(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths (head, second, n, doc_id, th, first) of pieces, and whether each piece that begins at an inner node (follows: null if not) has been joined to another."""
+    ended = pieces.select(F.col("tail").alias("head"), "doc_id", "th", (F.col("first") + F.col("n")).alias("first"), F.lit(True).alias("joined"))
+    linked = pieces.join(ended, ["head", "doc_id", "th", "first"], "left").withColumn("follows", F.when(F.col("inner"), F.col("joined").isNotNull()))
+    text = Window.partitionBy("doc_id", "th").orderBy("first")  # the paths of one source text
+    numbered = linked.withColumn("path", F.sum(F.when(F.coalesce("follows", F.lit(False)), 0).otherwise(1)).over(text))
+    paths = numbered.groupBy("doc_id", "th", "path").agg(F.min_by("head", "first").alias("head"), F.min_by("second", "first").alias("second"), F.sum("n").alias("n"), F.min("first").alias("first"), F.bool_and(F.coalesce("follows", F.lit(True))).alias("sound"))
+    return paths.select("head", "second", "n", "doc_id", "th", "first", "sound")
+
+
+def _graph(docs: DataFrame, seed: int, hot_runs: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Paths, occurrences of their first edges (head, second, doc_id, th, first), and the folders they rest on."""
+    spark = docs.sparkSession
+    known = _hot(docs, seed, hot_runs)
+    release(spark)
+    hot = spark.sparkContext.broadcast(known)
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = map_batches(own, ["doc_id", "th", "text"], _RUN_SCHEMA, _to_runs(hot))
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_meet, "doc_id bigint, th bigint, first bigint, end bigint")
-
-
-def _kept(text: str | None, spans: list[dict] | None) -> tuple[int, int, bytes]:
-    """Words, removed words, and the kept words joined by a space."""
-    words = utf8(text).split()
+    rows = map_batches(own, ["doc_id", "th", "text"], _RUN_SCHEMA, _to_runs(hot, seed))
+    found, path = durable_at(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _FOUND_SCHEMA))
+    paths = [path]
+    del rows
+    release(spark)
+    if len(known):
+        nodes, path = durable_at(map_batches(own, ["doc_id", "th", "text"], _NODE_SCHEMA, _to_nodes(hot, seed)))
+        more, rest = _hot_paths(nodes)
+        more, last = durable_at(more)
+        drop(spark, path, *rest)
+        found, paths = found.unionByName(more), [*paths, last]
+    compacted, path = durable_at(_compacted(found.filter("not occurs")))
+    release(spark)
+    return compacted, found.filter("occurs").select("head", "second", "doc_id", "th", "first"), [*paths, path]
+
+
+def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
+    """The words that no span (first, end) covers."""
     if not spans:
-        return len(words), 0, b" ".join(words)
+        return words
     keep, at = [], 0
-    for first, end in sorted((s["first"], s["end"]) for s in spans):
+    for first, end in sorted(spans):
         keep += words[at:first] if at < first else []
         at = max(at, end)
-    keep += words[at:]
-    return len(words), len(words) - len(keep), b" ".join(keep)
+    return keep + words[at:]
+
 
+_READ_SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept {kept}, told array<struct<head:bigint,second:bigint,digest:string>>"
 
-def with_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id, text and `spans` (array, null if none) of every row."""
-    spans = repeated_spans(docs, hot_runs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+
+def _removed(docs: DataFrame, kept: str, make_kept, hot_runs: int) -> DataFrame:
+    """doc_id, n_words, n_removed and `kept` (make_kept() of the kept words, of SQL type `kept`) of every row, verified."""
+    spark = docs.sparkSession
+
+    def make():
+        def run(ids, texts, asked):
+            out = {"doc_id": ids, "n_words": [], "n_removed": [], "kept": [], "told": []}
+            for text, wanted in zip(texts, asked):
+                words = utf8(text).split()
+                left = _kept(words, [(a["first"], a["end"]) for a in wanted or () if a["own"]])
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(left))
+                out["kept"].append(make_kept(b" ".join(left)))
+                out["told"].append([{"head": a["head"], "second": a["second"], "digest": sha256_hex(b" ".join(words[a["first"] : a["end"]]))} for a in wanted or ()])
+            return out
+
+        return run
+
+    for seed in range(SEEDS):
+        compacted, occurrences, folders = _graph(docs, seed, hot_runs)
+        end = (F.col("first") + F.col("n") + (WINDOW - 1)).alias("end")
+        spans = occurrences.join(compacted.select("head", "second", "n"), ["head", "second"]).select("doc_id", "th", F.lit(True).alias("own"), "first", end, "head", "second")
+        sources = compacted.select("doc_id", "th", F.lit(False).alias("own"), "first", end, "head", "second")
+        asked = spans.unionByName(sources).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("own", "first", "end", "head", "second")).alias("asked"))  # of one text
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(asked, ["doc_id", "th"], "left")
+        read, path = durable_at(map_batches(texts, ["doc_id", "text", "asked"], _READ_SCHEMA.format(kept=kept), make))
+        digests = read.select(F.explode("told").alias("x")).groupBy("x.head", "x.second").agg((F.min("x.digest") == F.max("x.digest")).alias("same"))
+        sound = compacted.filter("not sound").isEmpty() and digests.filter("not same").isEmpty()
+        del spans, sources, asked, texts, digests, occurrences, compacted
+        drop(spark, *folders)
+        release(spark)
+        if sound:
+            return read.drop("told")
+        drop(spark, path)
+    raise RuntimeError(f"different passages had equal hashes under {SEEDS} seeds")
 
 
 def dedup_text(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id and the kept text: words joined by one space."""
-    make = lambda: lambda ids, texts, spans: {"doc_id": ids, "text": [_kept(t, s)[2].decode("utf-8") for t, s in zip(texts, spans)]}
-    return map_batches(with_spans(docs, hot_runs), ["doc_id", "text", "spans"], "doc_id bigint, text string", make)
+    return _removed(docs, "string", lambda kept: kept.decode("utf-8"), hot_runs).select("doc_id", F.col("kept").alias("text"))
 
 
 def dedup_report(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-
-    def make():
-        def run(ids, texts, spans):
-            n, removed, kept = zip(*map(_kept, texts, spans)) if ids else ((), (), ())
-            return {"doc_id": ids, "n_words": list(n), "n_removed": list(removed), "kept_sha256": list(map(sha256_hex, kept))}
-
-        return run
-
-    return map_batches(with_spans(docs, hot_runs), ["doc_id", "text", "spans"], "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", make)
+    return _removed(docs, "string", sha256_hex, hot_runs).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 #: The same rows as dedup_report()'s, window by window.
