@@ -5,9 +5,10 @@ character 5-grams (with word boundaries), and where none of them was seen, to 4-
 characters. A text's score for a language is the sum over its words; the prediction is the largest, and `score` is
 its share of the softmax over all languages.
 
-Training takes a bounded sample of labelled documents: the SAMPLE_ROWS of least hash among those whose
-crc32(doc_id as text) mod 4 is not 2; counts over it are grouped in Spark, and the MODEL_WORDS most frequent words and
-MODEL_GRAMS most frequent n-grams of each length make the model, which is broadcast (about 30 MB at most).
+Training takes a bounded sample of labelled documents, about SAMPLE_ROWS: of those whose crc32(doc_id as text) mod 4 is not 2,
+the ones whose hash of doc_id and text lies under the share that SAMPLE_ROWS is of their number; of equal rows one. Counts over it
+are grouped in Spark; every language of the sample, and every word and n-gram that it has LEAST_COUNT times, is in the model, which
+is broadcast. It has no more numbers than the sample has distinct (language, n-gram), some MB.
 
 Defined results: null text and text without a letter give `und` and score 0; with no labelled document everything is
 `und`; text of unseen characters alone has equal scores, and the least language name; a null doc_id counts as held
@@ -24,16 +25,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import drop, durable_at, map_batches
 
 SAMPLE_ROWS = 12_000
-MODEL_WORDS, MODEL_GRAMS, LONGEST = 60_000, 20_000, 5
-LANGUAGES = 200
-#: Words that a worker remembers beyond the model's.
-REMEMBERED = 100_000
+#: The longest n-grams, and how often the sample has what's in the model.
+LONGEST, LEAST_COUNT = 5, 3
+#: Bytes of words' scores that a worker remembers.
+REMEMBERED_BYTES = 16 << 20
 #: Part of a seen event that an unseen one counts as.
 SMOOTHING = 0.1
 UNDETERMINED = "und"
@@ -52,40 +54,63 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Level:
+    """Log frequencies of words (n = 0) or n-grams by language: `unseen` by language, and what an entry's languages have beyond it, entry after entry."""
+
+    entries: dict[str, int]
+    unseen: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    beyond: np.ndarray
+
+    def add_to(self, out: np.ndarray, rows: list[int], found: list[int], share: float) -> None:
+        """Add the scores of entries `found` to the rows of out that they stand for."""
+        row, entry = np.array(rows, np.int64), np.array(found, np.int64)
+        size = self.starts[entry + 1] - self.starts[entry]
+        at = np.repeat(self.starts[entry] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        flat = np.bincount(np.repeat(row, size) * out.shape[1] + self.languages[at], self.beyond[at], out.size).reshape(out.shape)
+        out += share * (flat + np.bincount(row, minlength=len(out))[:, None] * self.unseen)
+
+
 @dataclass
 class Model:
-    """Log frequencies by language; tables[0] has whole words, tables[n] the n-grams."""
+    """Languages in order of their names, and the levels: words, then n-grams of 1 to LONGEST characters."""
 
     languages: list[str]
-    tables: list[dict[str, int]] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Scores of a word that isn't in the word table."""
-        for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return self.weights[n][found].sum(axis=0) / n
-        return np.zeros(len(self.languages))
+    levels: list[Level] = field(default_factory=list)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language."""
+        out = np.zeros((len(words), len(self.languages)))
+        rows: list[list[int]] = [[] for _ in self.levels]
+        found: list[list[int]] = [[] for _ in self.levels]
+        known = self.levels[0].entries
+        for i, word in enumerate(words):
+            if (entry := known.get(word)) is not None:
+                rows[0].append(i)
+                found[0].append(entry)
+                continue
+            for n in range(LONGEST, 0, -1):
+                get = self.levels[n].entries.get
+                if own := [e for g in grams_of(word, n) if (e := get(g)) is not None]:
+                    rows[n] += [i] * len(own)
+                    found[n] += own
+                    break
+        for n, level in enumerate(self.levels):
+            if rows[n]:
+                level.add_to(out, rows[n], found[n], 1 / max(n, 1))
+        return out
 
 
 class Scorer:
-    """A model with the rows of unseen words that this worker has met lately."""
+    """A model with the scores of words that this worker has met lately."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.base = len(model.weights[0]) if model.weights else 0
-        self.rows = dict(model.tables[0]) if model.tables else {}
-        self.table = np.concatenate([model.weights[0], np.zeros((REMEMBERED, len(model.languages)))]) if model.weights else np.zeros((0, 0))
-        self.used = self.base
-
-    def row(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.rows, self.used = dict(self.model.tables[0]), self.base
-        self.table[self.used] = self.model.backoff(word)
-        self.rows[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.most = max(1000, REMEMBERED_BYTES // (8 * max(len(model.languages), 1)))
+        self.table = np.zeros((self.most, len(model.languages)))
+        self.rows: dict[str, int] = {}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text))
@@ -93,13 +118,17 @@ class Scorer:
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.model.languages))
         items = list(counts.items())
-        for at in range(0, len(items), REMEMBERED // 2):  # so that no row is given up before it's used
-            part = items[at : at + REMEMBERED // 2]
-            if self.used + len(part) > len(self.table):
-                self.rows, self.used = dict(self.model.tables[0]), self.base
-            known = self.rows.get
-            rows = [r if (r := known(w)) is not None else self.row(w) for w, _ in part]
-            total += np.array([n for _, n in part], float) @ self.table[rows]
+        for at in range(0, len(items), self.most // 2):  # so that what a part needs is remembered together
+            part = items[at : at + self.most // 2]
+            new = [w for w, _ in part if w not in self.rows]
+            if new:
+                if len(self.rows) + len(new) > self.most:
+                    self.rows.clear()
+                    new = [w for w, _ in part]
+                first = len(self.rows)
+                self.table[first : first + len(new)] = self.model.scores(new)
+                self.rows.update(zip(new, range(first, first + len(new))))
+            total += np.array([n for _, n in part], float) @ self.table[[self.rows[w] for w, _ in part]]
         best = int(total.argmax())
         return self.model.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -125,39 +154,44 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), pa.array([n] * rows, pa.int32()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], names=["lang", "n", "gram", "count"])
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the labelled documents that aren't held out."""
-    mark = F.xxhash64("doc_id")
-    open_ = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    last = open_.select(mark.alias("mark")).orderBy("mark").limit(sample_rows).agg(F.max("mark")).first()[0]
-    if last is None:
-        return Model([])
-    sample = open_.filter(mark <= last).select("text", "lang").repartition(16)
-    counts = sample.mapInArrow(_counts, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    by_gram = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).cache()
-    sums = counts.groupBy("lang", "n").agg(F.sum("count").alias("count")).collect()
-    biggest = Counter({r.lang: r["count"] for r in sums if r.n == 0}).most_common(LANGUAGES)
-    languages = sorted(lang for lang, _ in biggest)
-    tables, weights = [], []
-    for n in range(LONGEST + 1):
-        top = by_gram.filter(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(MODEL_GRAMS if n else MODEL_WORDS).collect()
-        seen = {(r.lang): r["count"] for r in sums if r.n == n}
-        c = np.array([[r.by.get(lang, 0) for lang in languages] for r in top], float).reshape(len(top), len(languages))
-        total = np.array([seen.get(lang, 0) for lang in languages], float)
-        tables.append({r.gram: i for i, r in enumerate(top)})
-        weights.append(np.log((c + SMOOTHING) / (total + SMOOTHING * max(len(top), 1))))
-    by_gram.unpersist()
-    return Model(languages, tables, weights)
+def sample_of(docs: DataFrame, rows: int) -> DataFrame:
+    """text and lang of about `rows` labelled documents that aren't held out, or all if they're fewer."""
+    open_ = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    share = min(1.0, rows / max(open_.count(), 1))
+    mark = F.xxhash64("doc_id", "text") <= F.lit(min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1))
+    return open_.filter(mark & F.col("text").isNotNull()).select("doc_id", "text", "lang").distinct().select("text", "lang")
 
 
-_scorers: dict[int, Scorer] = {}
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from a sample of the labelled documents that aren't held out."""
+    sample = sample_of(docs, sample_rows).repartition(16)
+    counts = sample.mapInArrow(_counts, "lang string, n int, gram string, count bigint").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    pair = F.struct("lang", "count")
+    by_gram, path = durable_at(counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.array_sort(F.collect_list(pair)).alias("by")))  # languages of one entry, of a bounded sample
+    sums = by_gram.select("n", F.explode("by").alias("x")).groupBy("n", "x.lang").agg(F.sum("x.count").alias("count")).collect()
+    languages = sorted({r.lang for r in sums})
+    levels = [_level(by_gram, n, languages, {r.lang: r["count"] for r in sums if r.n == n}) for n in range(LONGEST + 1)] if languages else []
+    drop(docs.sparkSession, path)
+    return Model(languages, levels)
+
+
+def _level(by_gram: DataFrame, n: int, languages: list[str], seen: dict[str, int]) -> Level:
+    kept = by_gram.filter((F.col("n") == n) & (F.col("total") >= LEAST_COUNT)).orderBy("gram").select("gram", "by.lang", "by.count").toArrow()
+    flat = lambda c: kept.column(c).combine_chunks().flatten()
+    starts = np.r_[0, np.cumsum(pc.list_value_length(kept.column("lang")).to_numpy().astype(np.int64))]
+    places = pc.index_in(flat("lang"), value_set=pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.array([seen.get(lang, 0) for lang in languages], float) + SMOOTHING * max(kept.num_rows, 1)
+    unseen = np.log(SMOOTHING / total)
+    beyond = np.log((flat("count").to_numpy().astype(float) + SMOOTHING) / total[places]) - unseen[places]
+    return Level({g: i for i, g in enumerate(kept.column("gram").to_pylist())}, unseen, starts, places, beyond)
 
 
 def _scorer(broadcast) -> Scorer:
+    """The worker's scorer of a broadcast model; it goes with the broadcast."""
     model = broadcast.value
-    if 0 not in _scorers or _scorers[0].model is not model:
-        _scorers[0] = Scorer(model)
-    return _scorers[0]
+    if "_scorer" not in model.__dict__:
+        model._scorer = Scorer(model)
+    return model._scorer
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
