@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, sha256_hex
 
-#: Pieces kept in each of two generations by a Python worker, and the longest piece kept: about 80 MB at most.
-KEPT_PIECES, KEPT_LENGTH = 200_000, 48
+#: Bytes of pieces kept in each of two generations by a Python worker, what a piece takes beside its characters and ids, and the longest piece kept.
+KEPT_BYTES, PIECE_BYTES, KEPT_LENGTH = 72 << 20, 190, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -205,30 +205,21 @@ class _Recent(dict):
     """Pieces (without their leading space) to their packed ids: two generations, the older dropped when this is full."""
 
     def __init__(self, codec: BpeCodec):
-        self.codec, self.older = codec, {}
+        self.codec, self.older, self.held = codec, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = _packed(self.codec.encode_piece(" " + piece))
         if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.older = dict(self)
+            if self.held >= KEPT_BYTES:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = ids
+            self.held += PIECE_BYTES + len(piece) + len(ids)
         return ids
 
 
-#: Of this worker process, by the broadcast's id: pieces stay known from one task to the next.
-_codecs: dict[int, BpeCodec] = {}
-
-
-def _codec(broadcast) -> BpeCodec:
-    if broadcast.value is not _codecs.get(0):
-        _codecs[0] = broadcast.value
-    return _codecs[0]
-
-
 def codec_for(vocabulary: str, pattern: str | None = None) -> BpeCodec:
     """A codec from a rank file; by default with the pattern of the public tokenizers package."""
     if pattern is None:
@@ -243,7 +234,7 @@ def bpe_encode(df: DataFrame, codec: BpeCodec, key: str = "doc_id", text: str =
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def make():
-        own = _codec(shared)
+        own = shared.value  # with the pieces that this worker has met; it goes with the broadcast
         return lambda keys, texts: {key: keys, "ids": [own.encode(t).tolist() for t in texts]}
 
     return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>", make)
@@ -254,7 +245,7 @@ def bpe_decode(df: DataFrame, codec: BpeCodec, key: str = "doc_id", ids: str = "
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def make():
-        own = _codec(shared)
+        own = shared.value  # with the pieces that this worker has met; it goes with the broadcast
         return lambda keys, rows: {key: keys, "decoded": [own.decode(np.array(r or [], np.int64)) for r in rows]}
 
     return map_batches(df, [key, ids], f"`{key}` {df.schema[key].dataType.simpleString()}, decoded binary", make)
@@ -265,7 +256,7 @@ def bpe_digest(df: DataFrame, codec: BpeCodec, key: str = "doc_id", text: str =
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def make():
-        own = _codec(shared)
+        own = shared.value  # with the pieces that this worker has met; it goes with the broadcast
 
         def run(keys, texts):
             out: dict[str, list] = {key: keys, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -286,7 +277,7 @@ def bpe_tokens(df: DataFrame, codec: BpeCodec, key: str = "doc_id", text: str =
     shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def make():
-        own = _codec(shared)
+        own = shared.value  # with the pieces that this worker has met; it goes with the broadcast
 
         def run(keys, texts):
             ids = [own.encode(t) for t in texts]

@@ -51,11 +51,11 @@ def test_bpe_equals_the_library(spark):
     assert {r.doc_id: bytes(r.decoded) for r in back} == {i: t.encode() for i, t in enumerate(texts[:50])}
     # What is remembered has no effect when it's dropped.
     small = bpe.BpeCodec(codec.ranks, codec.pattern)
-    before, bpe.KEPT_PIECES = bpe.KEPT_PIECES, 3
+    before, bpe.KEPT_BYTES = bpe.KEPT_BYTES, 600
     try:
         assert all((small.encode(t) == codec.encode(t)).all() for t in texts[:200])
     finally:
-        bpe.KEPT_PIECES = before
+        bpe.KEPT_BYTES = before
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
@@ -395,9 +395,13 @@ def test_keep_one_among_rows_of_one_id(spark):
         assert got.columns == df.columns and {(r.doc_id, r.text) for r in got.collect()} == want and got.count() == 3
 
 
-@pytest.mark.parametrize("hot", [500, 1])
-def test_substring_dedup(spark, hot, monkeypatch):
-    monkeypatch.setattr(debruijn, "BATCH_HOT", 2)
+@pytest.mark.parametrize("hot, run, weak", [(debruijn.HOT_RUNS, debruijn.RUN, False), (1, debruijn.RUN, False), (5, 3, False), (5, 7, True)])
+def test_substring_dedup(spark, hot, run, weak, monkeypatch):
+    """Whole and salted minimizers, runs cut at other places, and a first seed under which many nodes have one hash."""
+    monkeypatch.setattr(debruijn, "RUN", run)
+    if weak:
+        walk = debruijn.walk
+        monkeypatch.setattr(debruijn, "walk", lambda text, seed=0: ((a, m, np.where(h > 0, h % np.uint64(97) + np.uint64(1), h) if seed == 0 else h) for a, m, h in walk(text, seed)))
     rng = random.Random(9)
     pool = [" ".join(f"t{rng.randint(0, 3000)}" for _ in range(80)) for _ in range(6)] + ["x " * 120]
     texts = [" ".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(f"u{rng.random()}" for _ in range(30)) for _ in range(3)) for _ in range(60)] + [None, "", pool[0], " ".join(pool[0].split()[:50]), " ".join(pool[0].split()[:49])]
@@ -417,6 +421,16 @@ def test_substring_dedup(spark, hot, monkeypatch):
     assert digests == {i: r.kept_sha256 for i, r in got.items()}
 
 
+@pytest.mark.parametrize("slab", [7, 50, 64])
+def test_walks_in_slabs(slab, monkeypatch):
+    text = " ".join(f"w{i % 90}" for i in range(400))
+    (_, minimizers, nodes), = debruijn.walk(text)
+    monkeypatch.setattr(debruijn, "SLAB", slab)
+    parts = list(debruijn.walk(text))
+    assert (np.concatenate([m for _, m, _ in parts]) == minimizers).all()
+    assert all((h == nodes[at : at + len(h)]).all() for at, _, h in parts) and nodes[0] == nodes[-1] == 0
+
+
 def test_language_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {r.doc_id: r for r in langid.langid_report(docs).collect()}
@@ -426,6 +440,57 @@ def test_language_held_out_accuracy(spark, small):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_scores_against_plain_counts(spark):
+    """Every prediction and score, by an independent reading of the rule: 230 languages, words of many kinds, ties."""
+    import math
+
+    rng = random.Random(12)
+    languages = [f"l{i:03}" for i in range(230)]
+    alphabets = {lang: rng.sample("abcdefghijklmnopqrstuvwxyzäöüéß日本語中文字", 9) for lang in languages}
+    word = lambda lang: "".join(rng.choices(alphabets[lang], k=rng.randint(1, 7)))
+    vocabulary = {lang: [word(lang) for _ in range(12)] for lang in languages}
+    rows = []
+    for i in range(1400):
+        lang = rng.choice(languages)
+        rows.append((i, " ".join(rng.choice(vocabulary[lang]) if rng.random() < 0.7 else word(lang) for _ in range(rng.randint(0, 30))) + " 12!", lang if rng.random() < 0.9 else None))
+    rows += [(2000, "Ωμέγα", None), (2001, "", "l000"), (2002, None, "l001"), (2003, rows[0][1], rows[0][2]), (None, rows[1][1], "zz")]
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.langid_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    training = {(i, t, lang) for i, t, lang in rows if i is not None and lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    seen = {n: {} for n in range(6)}  # n: gram: language: count
+    pieces = lambda w, n: [w] if n == 0 else [w[i] for i in range(len(w))] if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    for _, t, lang in training:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for n in range(6):
+                for g in pieces(w, n):
+                    by = seen[n].setdefault(g, {})
+                    by[lang] = by.get(lang, 0) + 1
+    names = sorted({lang for by in seen[0].values() for lang in by})
+    total = {n: {x: sum(by.get(x, 0) for by in seen[n].values()) for x in names} for n in seen}
+    kept = {n: {g for g, by in seen[n].items() if sum(by.values()) >= langid.LEAST_COUNT} for n in seen}
+    log = lambda n, g, x: math.log((seen[n][g].get(x, 0) + 0.1) / (total[n][x] + 0.1 * max(len(kept[n]), 1)))
+    truth = {}
+    for i, t, _ in rows[:120] + rows[-5:]:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        sums = dict.fromkeys(names, 0.0)
+        for w in words:
+            n = next((n for n in (0, 5, 4, 3, 2, 1) if any(g in kept[n] for g in pieces(w, n))), None)
+            for x in names if n is not None else ():
+                sums[x] += sum(log(n, g, x) for g in pieces(w, n) if g in kept[n]) / max(n, 1)
+        best = max(sums.values())
+        truth[i] = ("und", 0.0) if not words else (min(x for x in names if sums[x] > best - 1e-9), 1 / sum(math.exp(s - best) for s in sums.values()))
+    assert len(names) > 200 and len(got) == len(rows)
+    for i, lang, score in got:
+        if i in truth:
+            assert (lang, score) == (truth[i][0], pytest.approx(truth[i][1], abs=1e-9))
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat count once, and rows of one doc_id are drawn one by one."""
+    docs = spark.range(6000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 3000).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert 300 < langid.sample_of(docs, 1000).count() < 700  # half of them are repeated
+    assert langid.sample_of(docs, 10_000).count() == 3000 and langid.sample_of(docs.limit(0), 10).count() == 0
+
+
 def test_language_odd_texts(spark):
     docs = documents(spark, ["der die das und", "123 ²", None, "日本"] * 8)
     told = {(r.lang_pred, r.score) for r in langid.langid_report(docs).filter("doc_id % 4 in (1, 2)").collect()}
