@@ -1,10 +1,11 @@
 """Personal data by patterns and a skip-chain conditional random field (operator 4).
 
 Base spans come from four patterns (email, ip, card, phone). The field then labels a document's evidence tokens, those with
-a digit or an @ and capitalised words after a cue such as "Mr." or "name:" together with all their repetitions; every
-other token is observed as no entity. Evidence tokens have unary features of their form, the words before them and the
-base spans; neighbours share a chain potential; and, however distant, successive repetitions of a token, or tokens equal
-but for case and punctuation, share a skip potential. Sum-product messages run over the loopy graph of all
+a digit or an @ and capitalised words after a cue such as "Mr." or "name:" together with all their repetitions, possessives and
+capitals among them; every other token is observed as no entity. Evidence tokens have unary features of their form, the words before
+them and the base spans; neighbours share a chain potential; and, however distant, a token shares a skip potential with the last
+one that repeats it (equal but for case and punctuation), or else with the last similar one: of the same last seven digits,
+the same address before the @, or the same beginning of a name. Sum-product messages run over the loopy graph of all
 documents of a batch at once until they settle, and what a label's marginal finds beyond the base spans is added: emails, addresses,
 cards and phones in forms the patterns miss, identity numbers (`id`) and names (`name`).
 
@@ -96,7 +97,7 @@ def _order(span: Span) -> tuple[int, int, int]:
 #: Words that tell what comes next, by what they tell of; part of the model.
 CUES = {
     "name": ("mr", "mrs", "ms", "dr", "prof", "name", "named", "signed", "dear", "herr", "frau", "señor", "señora", "monsieur", "madame"),
-    "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "phone": ("phone", "tel", "telephone", "call", "ring", "dial", "mobile", "móvil", "portable", "fax", "telefon", "teléfono", "téléphone"),
     "email": ("email", "e-mail", "mail", "mailto", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "addr"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "karte", "tarjeta", "carte"),
@@ -140,6 +141,11 @@ def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
         yield from (r for r in runs if _EVIDENCE.search(text, *r))
 
 
+def _bare(name: str) -> str:
+    """A name without its possessive ending, in small letters."""
+    return (name[:-2] if name[-2:] in ("'s", "'S") else name).casefold()
+
+
 def evidence(text: str) -> list[tuple[int, int]]:
     """Spans of the tokens that the field labels, by start."""
     found: set[tuple[int, int]] = set()
@@ -167,12 +173,12 @@ def evidence(text: str) -> list[tuple[int, int]]:
                 n = _NAME.match(text, at)
                 if not n or not n[0][0].isupper() or len(n[0]) > LONGEST or n[0].lower() in _CUE_OF:
                     break
-                names.add(n[0])
+                names.add(_bare(n[0]))
                 at = n.end() + 1
                 if text[n.end() : at] != " ":
                     break
         if names:
-            found |= {n.span() for n in _NAME.finditer(text) if n[0] in names}
+            found |= {n.span() for n in _NAME.finditer(text) if n[0][0].isupper() and _bare(n[0]) in names}
     out: list[tuple[int, int]] = []
     for span in sorted(found):
         if not out or span[0] >= out[-1][1]:
@@ -206,17 +212,30 @@ def features(text: str, start: int, end: int, base: list[Span]) -> list[int]:
     return [_F[f] for f in dict.fromkeys(on)]
 
 
+def likeness(token: str) -> list[str]:
+    """What tokens have in common that repeat this one, then what similar ones do."""
+    plain = "".join([c for c in token.casefold() if c.isalnum()])
+    out = [f"={plain}"] if len(plain) > 2 else []
+    digits = _digits(token)
+    if len(digits) >= 7:
+        out.append(f"#{digits[-7:]}")
+    elif "@" in token[1:]:
+        out.append(f"@{token.casefold().partition('@')[0]}")
+    elif token[0].isupper() and token.replace("'", "").replace("-", "").isalpha() and len(plain) > 4:
+        out.append(f"~{plain[:5]}")
+    return out
+
+
 def graph(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges and skip edges between tokens, by index. Each repetition is joined to the one before: as many edges as tokens at most."""
+    """Chain edges and skip edges between tokens, by index. Each token is joined to the last that repeats it, or else to the last similar one: as many edges as tokens at most."""
     chain = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i][0] - tokens[i - 1][1] <= NEAR]
     last: dict[str, int] = {}
     skip = []
     for i, (start, end) in enumerate(tokens):
-        key = "".join([c for c in text[start:end].casefold() if c.isalnum()])
-        if len(key) > 2:
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+        keys = likeness(text[start:end])
+        if (j := next((last[k] for k in keys if k in last), None)) is not None:
+            skip.append((j, i))
+        last.update(dict.fromkeys(keys, i))
     return chain, skip
 
 
@@ -324,10 +343,17 @@ def labelled(sentences: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[s
         "email": lambda: rng.choice([f"{word()}@{word()}.com", f"{word()}.{digits(2)}@{word()}{digits(1)}.example.org"]),
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
+        "phone": lambda: rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(7)}", f"0{digits(9)}"]),
         "id": lambda: rng.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{rng.choice(['DE', 'FR', 'ES'])}{digits(20)}"]),
         "name": lambda: " ".join(word().capitalize() for _ in range(rng.choice([1, 2, 2]))),
     }
+    def varied(kind: str, entity: str) -> str:
+        """As it is, or in a similar form."""
+        if rng.random() < 0.7:
+            return entity
+        d = _digits(entity)
+        return {"name": entity.split()[0] + rng.choice(["", "'s"]), "email": entity.upper(), "phone": f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}"}.get(kind, entity)
+
     no_luhn = lambda n: next(d for d in iter(lambda: digits(n), "") if not luhn(d))
     alike = (lambda: digits(rng.randint(1, 11)), lambda: no_luhn(16), lambda: no_luhn(rng.randint(12, 19)), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{rng.randint(300, 999)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)}-{digits(3)}", lambda: digits(40))
     out = []
@@ -340,10 +366,13 @@ def labelled(sentences: int = TRAIN_SENTENCES, seed: int = SEED) -> list[tuple[s
                 text += rng.choice(alike)() + rng.choice([" ", ". ", ", "])
                 continue
             if known and roll < 0.65:
-                kind, entity, cue = *rng.choice(known), False
+                kind, entity = rng.choice(known)
+                entity, cue = varied(kind, entity), False
             else:
                 kind = rng.choice(KINDS)
-                entity, cue = make[kind](), kind in ("name",) or rng.random() < 0.5 or kind == "phone"
+                entity = make[kind]()
+                # Nothing but a cue tells a name from other words, and a phone's plain digits from a number.
+                cue = kind == "name" or kind == "phone" and entity.replace(" ", "").isdecimal() or rng.random() < 0.5
                 known.append((kind, entity))
             if cue:
                 c = rng.choice(CUES[kind])
@@ -403,7 +432,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def pii_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans, of every row."""
+    """Key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans and their number, of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model())
     columns = [f"n_{k}" for k in BASE]
 
@@ -413,12 +442,12 @@ def pii_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         def run(keys, texts):
             bases = [base_spans(t) for t in texts]
             added = field.label([t or "" for t in texts], bases)
-            out = {key: keys, "base_sha256": [sha256_hex(joined(b).encode()) for b in bases], "spans": [joined(sorted(b + a, key=_order)) for b, a in zip(bases, added)]}
+            out = {key: keys, "base_sha256": [sha256_hex(joined(b).encode()) for b in bases], "spans": [joined(sorted(b + a, key=_order)) for b, a in zip(bases, added)], "n_spans": [len(b) + len(a) for b, a in zip(bases, added)]}
             return out | {c: [sum(s[0] == k for s in b) for b in bases] for c, k in zip(columns, BASE)}
 
         return run
 
-    return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in columns)}, base_sha256 string, spans string", make)
+    return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in columns)}, base_sha256 string, spans string, n_spans bigint", make)
 
 
 def masked(text: str, spans: list[Span]) -> str:
