@@ -267,7 +267,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_assign, n_access, n_hex and base_sha256 of the base spans, and all spans, of every row."""
+    """Key, n_assign, n_access, n_hex and base_sha256 of the base spans, all spans and their number, of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model())
     columns = [f"n_{k}" for k in BASE]
 
@@ -277,9 +277,10 @@ def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         def run(keys, texts):
             judged = _judged(net, texts)
             bases = [[s for s, _ in own if s[0] in BASE] for own in judged]
-            out = {key: keys, "base_sha256": [sha256_hex(joined(b).encode()) for b in bases], "spans": [joined([s for s, p in own if s[0] in BASE or p >= net.threshold]) for own in judged]}
+            found = [[s for s, p in own if s[0] in BASE or p >= net.threshold] for own in judged]
+            out = {key: keys, "base_sha256": [sha256_hex(joined(b).encode()) for b in bases], "spans": list(map(joined, found)), "n_spans": list(map(len, found))}
             return out | {c: [sum(s[0] == k for s in b) for b in bases] for c, k in zip(columns, BASE)}
 
         return run
 
-    return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in columns)}, base_sha256 string, spans string", make)
+    return map_batches(df, [key, text], f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in columns)}, base_sha256 string, spans string, n_spans bigint", make)
