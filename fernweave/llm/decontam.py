@@ -5,8 +5,9 @@ runs of 10 words; an item of fewer words is one window. The windows' distinct ha
 executors with the plan; each document's windows are looked up there inside the scan, and only documents' hits leave
 it. A hit is verified by its words against a table of the windows, and every word that a verified window covers is hit.
 
-The set's size is proven before use: it's counted, and beyond SET_LIMIT windows no set is built: all document
-windows are hashed and joined to the windows by an ordinary equi-join, with the same result.
+The set's size is proven before use: it's counted, and beyond SET_LIMIT windows (8 bytes each) the sets are partitioned: the
+hashes of all document windows are dealt out to those of the items' windows by an equi-join, without any words, and what meets goes back to
+its row, where the words are compared. The result is the same.
 
 Defined results: null or empty text has no words; an item of null text or without words has no windows; items that
 share an item_id count once; repeated rows give repeated rows; with an empty benchmark nothing is hit. Columns other
@@ -54,26 +55,46 @@ def _starts(n: int, known: list[str] | None) -> Column:
     return F.expr(f"filter({each}, x -> x.h IN ({', '.join(known)}))" if known else each)
 
 
+def _covered(cover: Column) -> Column:
+    """The positions of (at, n) windows, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(cover, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
+
+
+def _split(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, row (a number of the row), w (its words) and wh (their hashes)."""
+    words = docs.select(*keep, words_of(F.col("text")).alias("w")).withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
+    return words.withColumn("row", F.monotonically_increasing_id())
+
+
 def hits(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """For every row of docs: `keep`, n_words, covered (0-based positions of hit words, sorted) and item_ids (sorted)."""
     grams = item_windows(items, size)
     sizes = grams.groupBy("n").agg(F.count("*").alias("k")).collect()  # at most `size` rows
-    total = sum(r.k for r in sizes)
-    split = docs.select(*keep, words_of(F.col("text")).alias("w")).withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
-    numbered = split.withColumn("row", F.monotonically_increasing_id())
+    if sum(r.k for r in sizes) > set_limit:
+        return _partitioned_hits(docs, grams, sorted(r.n for r in sizes), keep)
     known: dict[int, list[str]] = {}
-    if total <= set_limit:
-        for r in grams.select("n", "h").collect():
-            known.setdefault(r.n, []).append(f"{r.h}L")
-    each_size = [_starts(r.n, known.get(r.n)) for r in sorted(sizes, key=lambda r: r.n)]
+    for r in grams.select("n", "h").collect():
+        known.setdefault(r.n, []).append(f"{r.h}L")
+    each_size = [_starts(n, own) for n, own in sorted(known.items())]
     found = F.concat(*each_size) if each_size else F.expr("array(struct(0 as at, 0 as n, 0L as h))").cast("array<struct<at:int,n:int,h:bigint>>")
-    told = numbered.select("row", *keep, F.size("w").alias("n_words"), F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["h"].alias("h"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("gram"))).alias("found"))
+    told = _split(docs, keep).select("row", *keep, F.size("w").alias("n_words"), F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["h"].alias("h"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("gram"))).alias("found"))
     each = told.select("row", *keep, "n_words", F.explode_outer("found").alias("x")).select("row", *keep, "n_words", "x.*")
-    sure = each.join(F.broadcast(grams) if total <= set_limit else grams, ["n", "h", "gram"], "left")
+    sure = each.join(F.broadcast(grams), ["n", "h", "gram"], "left")  # set_limit rows at most
     cover = F.when(F.col("item_ids").isNotNull(), F.struct("at", "n"))
     by_row = sure.groupBy("row").agg(*(F.first(c).alias(c) for c in [*keep, "n_words"]), F.collect_set(cover).alias("cover"), F.collect_set("item_ids").alias("item_ids"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("cover", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
-    return by_row.select(*keep, "n_words", covered.alias("covered"), F.array_sort(F.array_distinct(F.flatten("item_ids"))).alias("item_ids"))
+    return by_row.select(*keep, "n_words", _covered(F.col("cover")).alias("covered"), F.array_sort(F.array_distinct(F.flatten("item_ids"))).alias("item_ids"))
+
+
+def _partitioned_hits(docs: DataFrame, grams: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
+    """hits() for any number of windows: rows are numbered and written, and only hashes are joined to the windows."""
+    rows = durable(_split(docs, keep))
+    known = durable(grams)
+    windows = rows.select("row", F.explode(F.concat(*(_starts(n, None) for n in sizes))).alias("x")).select("row", "x.*")
+    met = windows.join(known, ["n", "h"]).groupBy("row").agg(F.collect_list(F.struct("at", "n", "gram", "item_ids")).alias("found"))  # of one text
+    sure = F.filter(F.coalesce("found", F.array()), lambda x: F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ") == x["gram"])
+    told = rows.join(met, "row", "left").select(*keep, F.size("w").alias("n_words"), sure.alias("sure"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("sure", lambda x: x["item_ids"]))))
+    return told.select(*keep, "n_words", _covered(F.col("sure")).alias("covered"), ids.alias("item_ids"))
 
 
 def decontaminate_report(docs: DataFrame, items: DataFrame, size: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
