@@ -46,6 +46,12 @@ def parsed(messages: DataFrame) -> DataFrame:
     return runs.select(*KEYS, "role", content.alias("content"), texts("plain").alias("own"), passages.alias("passages"))
 
 
+def _sortable(x: Column) -> Column:
+    """A number as text that sorts like it: 19 digits, and negative ones counted from the least after a minus, which comes before any digit."""
+    least = F.lit(-(1 << 63))
+    return F.when(x < 0, F.concat(F.lit("-"), F.lpad((x.cast("bigint") - least).cast("string"), 19, "0"))).otherwise(F.lpad(x.cast("string"), 19, "0"))
+
+
 def _units(x: Column) -> Column:
     """A passage's whole text (0), then its lines (1, 2, ...), without repetitions."""
     whole = F.when(F.size(x) > 0, F.array(F.array_join(x, " "))).otherwise(F.array().cast("array<string>"))
@@ -80,17 +86,18 @@ def threads(link: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 def conversations(messages: DataFrame) -> DataFrame:
     """Every message without quotes: conv_id, turn, role, content, formatted, n_quoted, n_linked, reply_to, thread, depth, reply_order."""
-    own = parsed(messages)
+    own = durable(parsed(messages))  # read three times
     link = durable(links(own))
     told = own.select(*KEYS, "role", "content", F.size("passages").cast("bigint").alias("n_quoted"))
     joined = told.join(link, KEYS, "left").join(threads(link), KEYS, "left")
     thread, depth = F.coalesce("thread", "turn"), F.coalesce("depth", F.lit(0))
-    order = F.concat_ws("/", *(F.lpad(x.cast("string"), 19, "0") for x in (thread, depth, F.col("turn"))))
+    order = F.concat_ws("/", *map(_sortable, (thread, depth, F.col("turn"))))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("content"), F.lit("\n"))
     return joined.select(*KEYS, "role", "content", formatted.alias("formatted"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", thread.alias("thread"), depth.alias("depth"), order.alias("reply_order"))
 
 
 _NORMAL = r"trim(regexp_replace(lower({}), '[ \t\r\n\f\x0B]+', ' ', 'g'))"
+_sorted = lambda x: f"CASE WHEN {x} < 0 THEN '-' || lpad(CAST(CAST({x} AS HUGEINT) + 9223372036854775808 AS VARCHAR), 19, '0') ELSE lpad(CAST({x} AS VARCHAR), 19, '0') END"
 ORACLE = rf"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS line FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(line) AS line, generate_subscripts(line, 1) AS i FROM m),
@@ -111,6 +118,6 @@ up AS (SELECT conv_id, turn, reply_to AS thread, CAST(1 AS BIGINT) AS depth FROM
 tops AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role, content, '<|' || coalesce(m.role, '') || '|>' || chr(10) || content || chr(10) AS formatted, n_quoted,
        coalesce(n_linked, 0) AS n_linked, reply_to, coalesce(thread, m.turn) AS thread, coalesce(depth, 0) AS depth,
-       concat_ws('/', lpad(CAST(coalesce(thread, m.turn) AS VARCHAR), 19, '0'), lpad(CAST(coalesce(depth, 0) AS VARCHAR), 19, '0'), lpad(CAST(m.turn AS VARCHAR), 19, '0')) AS reply_order
+       concat_ws('/', {_sorted('coalesce(thread, m.turn)')}, {_sorted('coalesce(depth, 0)')}, {_sorted('m.turn')}) AS reply_order
 FROM m JOIN own USING (id) LEFT JOIN links k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """

@@ -136,6 +136,21 @@ def test_pii_repetitions_agree(spark):
     assert [r.text for r in masked] == ["mail [EMAIL] now", None, "clean"] and masked[0].n_chars == 16 and masked[0].source == "s"
 
 
+def test_pii_similar_tokens_agree():
+    """What a cue tells of one token holds for similar ones, far away; without any, a number of ten digits is none."""
+    field, far = pii.model(), " plain words go here" * 40
+    for text, kind, want in (
+        (f"Dear Zolander Quex,{far} and Zolander's boat", "name", ["Zolander Quex", "Zolander's"]),
+        (f"phone 030 1234567 now{far} 0301234567 again", "phone", None),
+        (f"ring 555-123-4567 or wait{far}", "phone", ["555-123-4567"]),
+        (f"write or call 555-123-4567.{far} It is (555) 123-4567 still", "phone", ["555-123-4567"]),
+    ):
+        found = [text[a:b] for k, a, b in field.label([text], [pii.base_spans(text)])[0] if k == kind]
+        assert found if want is None else set(want) <= set(found), text
+    assert pii.graph("0301234567 x 49301234567 Ab@c.de AB@x.yz Zolander Zolanders", [(0, 10), (13, 24), (25, 32), (33, 40), (41, 49), (50, 59)])[1] == [(0, 1), (2, 3), (4, 5)]
+    assert field.label([f"the 4030123456 boxes{far}"], [[]])[0] == []
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -532,6 +547,98 @@ def test_warc_faults():
             warc.content(*warc.parse(bad))
 
 
+def test_decontamination_edges(spark):
+    """Null ids and texts, clashing columns, repeated rows and one very long text, with whole and with partitioned sets."""
+    passage = " ".join(f"bench{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage), (None, passage), (2, "short one"), (3, None)], "item_id long, text string")
+    texts = [f"{'long ' * 200_000}{passage} end", passage, passage, None, "a short one here", ""]
+    for limit in (decontam.SET_LIMIT, 0):
+        got = decontam.decontaminate_report(documents(spark, texts, [1, 2, 2, 3, None, 4]), bench, set_limit=limit).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got) == [("1", 200_013, 12, 1), ("2", 12, 12, 1), ("2", 12, 12, 1), ("3", 0, 0, 0), ("4", 0, 0, 0), ("None", 4, 2, 1)]
+        assert decontam.decontaminate_report(documents(spark, []), bench, set_limit=limit).count() == 0
+
+
+def brute_quotes(rows):
+    """(conv, turn): content lines, thread and depth, by a plain reading of the rule."""
+    prefix = re.compile(r"^(?:[ \t]*>)+[ \t]?")
+    normal = lambda x: re.sub(r"[ \t\r\n\f\x0B]+", " ", x.lower()).strip(" ")
+    units = lambda xs: ([" ".join(xs)] if xs else []) + xs
+    own, passages, first, reply = {}, {}, {}, {}
+    for conv, turn, _, text in rows:
+        plain, found, before = [], [], 0
+        for i, line in enumerate((text or "").split("\n")):
+            m = prefix.match(line)
+            level, body = (m[0].count(">"), line[m.end() :]) if m else (0, line)
+            if not level:
+                plain.append(body)
+            elif level == before:
+                found[-1][2].append(body)
+            else:
+                found.append((level, i, [body]))
+            before = level
+        own[conv, turn] = [x for x in map(normal, plain) if x]
+        passages[conv, turn] = [(lv, i, [x for x in map(normal, b) if x]) for lv, i, b in found]
+    for (conv, turn), xs in own.items():
+        for u in units(xs):
+            first[conv, u] = min(turn, first.get((conv, u), turn))
+    for (conv, turn), ps in passages.items():
+        found = [((lv, i, k), first[conv, u]) for lv, i, b in ps for k, u in enumerate(units(b)) if first.get((conv, u), turn) < turn]
+        if found:
+            reply[conv, turn] = min(found)[1]
+    out = {}
+    for key in own:
+        at, depth = key, 0
+        while at in reply:
+            at, depth = (at[0], reply[at]), depth + 1
+        out[key] = (reply.get(key), at[1], depth)
+    return out
+
+
+def test_quotes_of_generated_conversations(spark, tmp_path):
+    """Nested quotes, lines that nearly all messages share, chains of 60 replies, negative turns; against brute force and SQL."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, rows = random.Random(14), []
+    for conv in range(25):
+        said = []
+        for turn in range(-3, 57 if conv == 0 else rng.randint(0, 14)):
+            lines = ["Thanks a lot!"] if rng.random() < 0.8 else []
+            lines += [f"{rng.choice(['Point', 'point', ' POINT  '])} {rng.randint(0, 400)} of {conv}" for _ in range(rng.randint(0, 3))]
+            quoted = []
+            for _ in range(1 if conv == 0 and said else rng.randint(0, 2) if said else 0):
+                source = said[-1] if conv == 0 else rng.choice(said)
+                quoted += [f"{rng.choice(['>', '> ', ' >'])}{x.swapcase() if rng.random() < 0.5 else x}" for x in source]
+            text = quoted + lines if rng.random() < 0.7 else lines[:1] + quoted + lines[1:]
+            if conv == 0:
+                text = [*quoted, f"only {turn}"]
+                lines = [f"only {turn}"]
+            said.append(text if rng.random() < 0.3 and conv else lines or ["nothing"])
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(text)))
+    rows += [(30, 0, "user", "x" * 100_000), (30, 1, "user", ">" + "X" * 100_000 + "\nshort"), (31, 5, None, None)]
+    columns = list(zip(*rows))
+    pq.write_table(pa.table({"conv_id": pa.array(columns[0], pa.int64()), "turn": pa.array(columns[1], pa.int64()), "role": columns[2], "text": columns[3], "level": columns[3], "passages": columns[0]}), tmp_path / "conversations.parquet")
+    run = lambda s, d: quotes.conversations(s.read.parquet(f"{d}/conversations.parquet"))
+    compare(spark, str(tmp_path), run, quotes.ORACLE)
+    got = run(spark, str(tmp_path)).collect()
+    want = brute_quotes(rows)
+    assert {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth) for r in got} == want
+    assert max(d for _, _, d in want.values()) >= 50 and sum(r is not None for r, _, _ in want.values()) > 150
+    for conv in range(25):
+        own = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.reply_order)
+        assert own == sorted(own, key=lambda r: (r.thread, r.depth, r.turn))
+    assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string, line string")).count() == 0
+
+
+def test_warc_edges(spark, tmp_path):
+    """An empty table, one very long page with its copy, and clashing columns."""
+    page = "<p>" + "é" * 12_000_000
+    docs = spark.createDataFrame([(1, "u", page, "x", 1), (2, "u", page, "x", 1), (3, None, "", "x", 1)], "page_id long, url string, html string, digest string, n long")
+    got = {r.page_id: r for r in warc.warc_report(docs).collect()}
+    assert (got[1].record_type, got[1].refers_to, got[2].record_type, got[1].payload_bytes) == ("revisit", 2, "response", 24_000_003)
+    assert got[3].payload_digest == hashlib.sha1(b"").hexdigest() and warc.warc_report(docs.limit(0)).count() == 0
+
+
 def test_quotes(spark, tmp_path):
     rows = [(1, 0, "user", "Hello there\nHow are  you?"), (1, 1, "assistant", "> Hello there\n> how are you?\nFine.\n> nothing known\nok"), (1, 2, "user", "> > Hello there\n> Fine.\n\nGreat"), (1, 3, None, ">Great\n>> fine.\n>>> hello there\nbye"), (1, 4, "user", None), (1, 5, "user", "> Great\r\nX\r\n")]
     rows += [(2, 0, "user", "> Great\nY"), (2, 1, "user", ""), (2, 1, "user", "> y\nZ"), (None, 0, "user", "> y"), (2, None, "user", "> y\nq"), (2, 3, "user", ">\n> \n>> z\nfin"), (2, 1, "user", "> y\nZ"), (4, 0, "a", "x")]
