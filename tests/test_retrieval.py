@@ -138,3 +138,58 @@ def test_embedders():
 def test_latest_of_a_batch(spark):
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 3, "x")], "doc_id string, pos bigint, text string")
     assert {r.doc_id: r.text for r in index.latest(rows).collect()} == {"a": "new", "b": "x"}
+
+
+def test_upper_median_of_many_values(spark, monkeypatch):
+    """Narrowed in several rounds, with ties, infinities and a null key, it's the sorted list's."""
+    import random
+
+    monkeypatch.setattr(evaluate, "RANKED", 40)
+    monkeypatch.setattr(evaluate, "PARTS", 5)
+    rng = random.Random(1)
+    rows = [(k, v) for k in ("a", "b", None) for v in ([float(rng.randint(0, 3000)) for _ in range(3000)] if k == "a" else [rng.random() for _ in range(1501)] + [1.0, float("inf"), -5.0])]
+    want = {k: sorted(v for q, v in rows if q == k)[len([1 for q, _ in rows if q == k]) // 2] for k in ("a", "b", None)}
+    assert {r.k: r.p50 for r in evaluate.upper_median(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()} == want
+    assert evaluate.upper_median(spark.createDataFrame([], "k string, v double"), "v", "k").count() == 0
+
+
+def test_broadcasts_are_checked(spark):
+    from fernweave.operators.sizes import small
+
+    rows = spark.range(10).toDF("id")
+    plan = lambda most: rows.join(small(rows, most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(10) and "strategy=broadcast" not in plan(9)
+
+
+def test_hash_embedder_against_its_definition():
+    import hashlib
+
+    for text in ("The cat sat. The cat!", "a", "", "x1 y2 x1 y2"):
+        tokens = [t for t in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()]
+        want = [0.0] * 512
+        for g in tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]:
+            d = hashlib.blake2b(g.encode(), digest_size=8).digest()
+            want[int.from_bytes(d[:4], "big") % 512] += 1 if d[4] % 2 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert HashEmbedder().embed([text])[0].tolist() == pytest.approx([x / norm for x in want])
+
+
+def test_embedders_by_settings():
+    from fernweave.functions.vectors import LocalEmbedder, embedder_for, for_questions
+    from fernweave.settings import Settings
+
+    assert embedder_for(Settings(embedding_dim=64)).name == "hash-64"
+    local = embedder_for(Settings(embedding_backend="local", embedding_model="m", embedding_dim=2), load=lambda model: lambda texts: [[3, 4]] * len(texts))
+    assert isinstance(local, LocalEmbedder) and local.name == "auto:m" and local.embed(["x"]).tolist() == [[0.6, 0.8]]
+    asked = []
+    hosted = RemoteEmbedder("m", 1, lambda texts, task: asked.append(task) or [(i, [float(i + 1)]) for i in reversed(range(len(texts)))], task=RemoteEmbedder.DOCUMENT)
+    assert hosted.embed(["a", "b"]).tolist() == [[1.0], [1.0]] and for_questions(hosted).embed(["q"]).tolist() == [[1.0]] and asked == ["document", "question"]
+    calls = []
+
+    def down(texts):
+        calls.append(1)
+        raise RuntimeError("503")
+
+    with pytest.raises(RuntimeError):
+        RemoteEmbedder("m", 1, down, retries=3, delay=0).embed(["x"])
+    assert len(calls) == 3

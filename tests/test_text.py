@@ -87,3 +87,14 @@ def test_failures():
     assert T.failure_reason("HTTP 503") == T.FAILURES[0][1]
     assert T.failure_reason("odd") == T.OTHER_FAILURE
     assert T.is_retryable("429") and T.is_retryable("internal error", True) and not T.is_retryable("internal error")
+
+
+def test_without_overlap_nothing_is_shared():
+    assert S.chunk_text("aa bb cc. dd ee ff. gg hh ii. jj kk ll.", 6, 0, 1) == ["aa bb cc. dd ee ff.", "gg hh ii. jj kk ll."]
+    assert S.chunk_text(f"{words(5, 'a')} {words(30, 'b')} {words(5, 'c')}", 20, 0, 1) == [words(5, "a"), words(30, "b"), words(5, "c")]
+
+
+def test_retry_marks():
+    for mark in ("resource_exhausted", "Deadline exceeded", "503", "rate limit"):
+        assert T.is_retryable(mark)
+    assert not T.is_retryable("502 overloaded")
