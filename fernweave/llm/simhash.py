@@ -21,12 +21,13 @@ rows give repeated rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -47,6 +48,8 @@ NEAR_SHINGLE, SIMILARITY = 5, (4, 5)
 CELLS, CELL_BLOCK = 1 << 20, 1 << 14
 #: A shingle whose cell counts more is dealt out by SALTS parts of its sets.
 HOT_SHINGLE, SALTS = 2000, 64
+#: Pairs for each row at a shingle, on average, from which crowds are thinned first; sets of a shingle that are put in an order at once.
+PAIRS_A_ROW, CROWD = 20, 10_000
 #: Sets that a task remembers at most, so as not to send copies again.
 SEEN = 100_000
 
@@ -375,6 +378,13 @@ def _alike(df: DataFrame, text: str, each: DataFrame, pairs: DataFrame) -> DataF
     return found
 
 
+def _mixed(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of met at shingles that sets of several components have, with root and c, the number of such rows at the shingle; durable."""
+    placed = met.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low <> high").select("h", "c")
+    return durable_at(placed.join(mixed, "h").select("h", "sid", "n", "at", "root", "c"))
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of df the key, th (xxhash64 of the text), root (its group) and component_id (the group's least key), by links of two kinds.
 
@@ -433,9 +443,23 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     roots = components(by_fp.unionByName(linked).unionByName(alike))
     release(spark)
     # What's left: at each shingle, the pairs of different components, but for those with the least set, which were compared.
-    placed = met.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
-    left, left_path = durable_at(placed.join(mixed, "h").select("h", "sid", "n", "at", "root"))
+    left, left_path = _mixed(met, roots)
+    # Where that's many, a crowd around one text say, each set first meets one other at every shingle, in an order that each
+    # shingle has of its own. Most crowds are one component after that; what isn't is compared pair by pair.
+    for turn in itertools.count():
+        size = left.select("h", "c").distinct().agg(F.sum(F.expr("c * (c - 1) / 2.0")).alias("pairs"), F.sum("c").alias("rows")).first()  # one row
+        if (size.pairs or 0) <= PAIRS_A_ROW * (size.rows or 0):
+            break
+        mark = F.xxhash64("sid", "h", F.lit(turn))
+        near = Window.partitionBy("h", F.pmod(mark, F.ceil(F.col("c") / CROWD))).orderBy(mark)
+        met_next = left.withColumns({f"next_{c}": F.lead(c).over(near) for c in ("sid", "n", "at", "root")}).filter("root <> next_root")
+        asked = met_next.filter(_may_reach(*map(F.col, ("n", "at", "next_n", "next_at")))).select(F.least("sid", "next_sid").alias("a"), F.greatest("sid", "next_sid").alias("b")).distinct()
+        found = _alike(df, text, sets, asked)
+        if found.isEmpty():
+            break
+        roots = components(roots.unionByName(found))
+        drop(spark, left_path)
+        left, left_path = _mixed(met, roots)
     x, y = left.alias("x"), left.alias("y")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
     others = x.join(y, apart & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()

@@ -347,6 +347,8 @@ def test_near_groups_miss_no_pair(spark, cells, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_SHINGLE", hot)
     monkeypatch.setattr(simhash, "SALTS", 3)
     monkeypatch.setattr(simhash, "SEEN", 5)
+    monkeypatch.setattr(simhash, "PAIRS_A_ROW", 20 if hot > 1000 else 1)
+    monkeypatch.setattr(simhash, "CROWD", 30)
     rng = random.Random(19)
     texts = []
     for _ in range(4):
