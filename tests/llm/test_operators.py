@@ -340,7 +340,7 @@ def test_near_groups_keep_one(spark):
     assert simhash.similarity(a, a) == 1 and 0.9 < simhash.similarity(a, b) < 1 and simhash.similarity(none, none) == 1
 
 
-@pytest.mark.parametrize("cells, hot", [(simhash.CELLS, simhash.HOT_SHINGLE), (1 << 14, 20), (1 << 14, 0)])
+@pytest.mark.parametrize("cells, hot", [(simhash.CELLS, simhash.HOT_SHINGLE), (1 << 14, 8)])
 def test_near_groups_miss_no_pair(spark, cells, hot, monkeypatch):
     """Chains in which only neighbours are 0.8 alike, and crowds of texts around a common one, against all pairs; with exact and with rough counts, and with salted shingles."""
     monkeypatch.setattr(simhash, "CELLS", cells)
