@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..settings import DEFAULT, Settings
-from .sizes import small
+from .sizes import fits
 
 #: Parts of 1 that contributions are counted in.
 UNIT = 10_000_000_000_000
@@ -127,12 +127,13 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def topk(index: Bm25Index, questions: DataFrame, k: int = 20, settings: Settings = DEFAULT) -> DataFrame:
     """qid, chunk_id, pos, score, rank of each question's k best chunks, those with score over 0. questions: qid, question."""
     asked = question_terms(questions).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = small(asked.select("term").distinct())
+    hint = F.broadcast if fits(asked) else lambda df: df  # the terms and their weights are no more than what's asked
+    wanted = hint(asked.select("term").distinct())
     weighted = asked.join(_weighted(index.frequencies.join(wanted, "term", "left_semi"), index.stats, settings), "term")
     k1, b = settings.bm25_k1, settings.bm25_b
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("times") * F.round(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length) * UNIT).cast("bigint")
-    parts = index.of_terms(wanted).join(small(weighted), "term").crossJoin(F.broadcast(index.stats.select("avgdl"))).select("qid", *PLACE, part.alias("x"))
+    parts = index.of_terms(wanted).join(hint(weighted), "term").crossJoin(F.broadcast(index.stats.select("avgdl"))).select("qid", *PLACE, part.alias("x"))
     scored = parts.groupBy("qid", *PLACE).agg((F.sum("x") / UNIT).alias("score")).filter("score > 0")
     return ranked(scored, F.round("score", 9), k, "pos", "ordinal").drop("ordinal")
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a hint to broadcast it if it has so many rows at most, which are counted; else as it is, and joins on it shuffle."""
+def fits(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has no more rows than a broadcast side may have; no more than that are counted."""
     most = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a hint to broadcast it if it fits; else as it is, and joins on it shuffle."""
+    return F.broadcast(df) if fits(df, rows) else df

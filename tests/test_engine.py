@@ -193,6 +193,24 @@ def test_uploads(spark, tmp_path):
     assert [r.status for r in engine.upload(f"file://{folder}").collect()][-1] == "updated" and engine.stats()["n_chunks"] == 1
 
 
+def test_pdf_pages(monkeypatch):
+    """Each page reflowed, apart by an empty line; by a stand-in for the optional package."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.extract_text = lambda: text
+
+    class Reader:
+        def __init__(self, stream):
+            assert stream.read() == b"%PDF"
+            self.pages = [Page("Leave Policy\nEmployees are eligible after\nsome time."), Page(None), Page("More follows\nhere.")]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files._pdf_text(b"%PDF") == "# Leave Policy\nEmployees are eligible after some time.\n\n\n\nMore follows here."
+
+
 def test_whole_evaluation(spark, folder, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/index", settings=Settings(embedding_dim=64))
     engine.ingest(f"file://{folder}")
