@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, map_batches, small
 
 DICT_MAGIC, ZSTD_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
 REVISIT_BYTES = 1000
@@ -170,12 +170,13 @@ def page_of(uri: str | None) -> int | None:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses): one grouped maximum, one join on the digest."""
+    """page_id, url, html, digest, refers_to (null for responses): one grouped maximum over ids and digests, and one join on the
+    digest with the payloads that several pages have; pages aren't shuffled for it unless those are too many to broadcast."""
     own = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     own = own.withColumns({"digest": F.sha1("html"), "n": F.octet_length("html").cast("bigint")})
     best = own.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "n", "best")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("best")), F.col("best"))
-    return own.join(best, ["digest", "n"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return own.join(small(durable(best)), ["digest", "n"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
