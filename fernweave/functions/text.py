@@ -141,6 +141,20 @@ def build_prompt(question: Column, contexts: Column) -> Column:
     return strip(F.concat(F.lit("Question: "), question, F.lit("\n\nContext passages:\n\n"), F.array_join(passages, "\n")))
 
 
+def parse_prompt(x: Column) -> Column:
+    """struct(question, passages array of struct(marker, title, text)) of a prompt of build_prompt()'s form. A line that begins with [n] begins a passage; its title ends at the header's last dash."""
+    marked = F.filter(F.split(x, r"(?m)^(?=\[\d+\])"), lambda b: F.regexp_like(b, F.lit(r"^\[\d+\]")))
+
+    def passage(block: Column) -> Column:
+        body = strip(F.regexp_replace(block, r"^\[\d+\]", ""))
+        header = F.substring_index(body, "\n", 1)
+        title = F.when(header.contains(" - "), F.regexp_extract(header, r"^(.*) - ", 1)).otherwise(header)
+        rest = F.when(body.contains("\n"), F.regexp_replace(body, r"^[^\n]*\n", "")).otherwise("")
+        return F.struct(F.regexp_extract(block, r"^\[(\d+)\]", 1).cast("int").alias("marker"), strip(title).alias("title"), strip(rest).alias("text"))
+
+    return F.struct(strip(F.regexp_extract(x, r"Question:\s*(.+)", 1)).alias("question"), F.transform(marked, passage).alias("passages"))
+
+
 def doc_id_of(key: Column) -> Column:
     return F.substring(F.sha1(key), 1, 12)
 

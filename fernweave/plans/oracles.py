@@ -181,6 +181,7 @@ ORACLE_SQL: dict[str, str] = {
     "parse_citations": f"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(m, range(1, len(m) + 1)), lambda p: list_position(m, p[1]) = p[2]), lambda p: p[1]), ',') AS cited FROM (SELECT doc_id, list_filter({_marks}, lambda n: n BETWEEN 1 AND 8) AS m FROM documents)",
     "strip_invalid_citations": rf"SELECT doc_id, regexp_replace({_cited}, '\[(?:0|00|0?[4-9]|[1-9][0-9])\]', '', 'g') AS text FROM documents",
     "prompt_build": f"SELECT item_id, {_strip("'Question: ' || text || chr(10) || chr(10) || 'Context passages:' || chr(10) || chr(10) || '[1] T - s.md' || chr(10) || text || chr(10) || chr(10) || '[2] U - u.md' || chr(10) || 'Other.'")} AS prompt FROM benchmark",
+    "prompt_parse": f"SELECT item_id, {_strip(r"regexp_extract(text, '^[ \t\n\x0B\f\r]*([^\n]+)', 1)")} AS question, m AS marker, CASE WHEN m = 1 THEN 'T' ELSE 'U' END AS title, CASE WHEN m = 1 THEN {_strip('text')} ELSE 'Other.' END AS text FROM benchmark, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS m)",
     "postings": f"WITH {_BASE} SELECT term, chunk_id, CAST(dl AS INTEGER) AS dl, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM tokens) GROUP BY ALL",
     "term_stats": f"WITH {_BASE}, {_STATS} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "corpus_stats": f"WITH {_BASE}, {_STATS} SELECT n_chunks, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM size, mean",

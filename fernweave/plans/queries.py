@@ -182,12 +182,22 @@ def strip_invalid_citations(spark, sf_dir):
     return _cited(spark, sf_dir).select("doc_id", T.strip_invalid_citations(F.col("cited"), 3).alias("text"))
 
 
-@query
-def prompt_build(spark, sf_dir):
+def _prompts(spark, sf_dir):
     contexts = F.array(F.struct(F.lit("T").alias("title"), F.lit("s.md").alias("source"), F.col("text").alias("text")), F.struct(F.lit("U").alias("title"), F.lit("u.md").alias("source"), F.lit("Other.").alias("text")))
     return _table(spark, sf_dir, "benchmark").select("item_id", T.build_prompt(F.col("text"), contexts).alias("prompt"))
 
 
+@query
+def prompt_build(spark, sf_dir):
+    return _prompts(spark, sf_dir)
+
+
+@query
+def prompt_parse(spark, sf_dir):
+    told = _prompts(spark, sf_dir).select("item_id", T.parse_prompt(F.col("prompt")).alias("p"))
+    return told.select("item_id", "p.question", F.explode("p.passages").alias("x")).select("item_id", "question", "x.marker", "x.title", "x.text")
+
+
 # --- lexical and dense search, fusion ---
 
 

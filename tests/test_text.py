@@ -98,3 +98,10 @@ def test_retry_marks():
     for mark in ("resource_exhausted", "Deadline exceeded", "503", "rate limit"):
         assert T.is_retryable(mark)
     assert not T.is_retryable("502 overloaded")
+
+
+def test_prompts_are_parsed(spark):
+    prompt = "Question: Who? \n\nContext passages:\n\n[1] A - B - a.md\nText one.\nMore [2] here.\n\n[12] Plain\n[3]\n"
+    told = one(spark, T.parse_prompt(F.col("a")), prompt)
+    assert told.question == "Who?" and [tuple(p) for p in told.passages] == [(1, "A - B", "Text one.\nMore [2] here."), (12, "Plain", ""), (3, "", "")]
+    assert one(spark, T.parse_prompt(F.col("a")), "nothing").passages == []
