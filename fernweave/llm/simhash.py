@@ -398,7 +398,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     each = read.filter("n is not null").select(key, "th", "fp", "sid", "n", "bits")
     cells = read.filter("n is null").select(F.col("th").alias("block"), F.col("bits").alias("cells")).repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block bigint, cells binary")
     counts = np.zeros(CELLS, np.int64)
-    for row in cells.toLocalIterator():  # CELLS numbers in all
+    for row in cells.collect():  # CELLS numbers in all
         own = np.frombuffer(row.cells, np.int64)
         counts[row.block : row.block + len(own)] = own
     shared = spark.sparkContext.broadcast(counts)
@@ -447,7 +447,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # Where that's many, a crowd around one text say, each set first meets one other at every shingle, in an order that each
     # shingle has of its own. Most crowds are one component after that; what isn't is compared pair by pair.
     for turn in itertools.count():
-        size = left.select("h", "c").distinct().agg(F.sum(F.expr("c * (c - 1) / 2.0")).alias("pairs"), F.sum("c").alias("rows")).first()  # one row
+        each_root = left.groupBy("h", "root").agg(F.count("*").cast("double").alias("k"))
+        apart = each_root.groupBy("h").agg(F.sum("k").alias("rows"), F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"))
+        size = apart.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()  # one row
         if (size.pairs or 0) <= PAIRS_A_ROW * (size.rows or 0):
             break
         mark = F.xxhash64("sid", "h", F.lit(turn))
