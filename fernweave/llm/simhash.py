@@ -50,6 +50,8 @@ CELLS, CELL_BLOCK = 1 << 20, 1 << 14
 HOT_SHINGLE, SALTS = 2000, 64
 #: Pairs for each row at a shingle, on average, from which crowds are thinned first; sets of a shingle that are put in an order at once.
 PAIRS_A_ROW, CROWD = 20, 10_000
+#: Thinning goes on while at least this part of the pairs is alike.
+FEW = 0.05
 #: Sets that a task remembers at most, so as not to send copies again.
 SEEN = 100_000
 
@@ -312,49 +314,49 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each of df: key, th, fp, sid (the id of its set of shingles), n (the set's size), bits (its parities); and
-    a task's shingles counted by cells, a row (n null, th the block, bits the cells) for each block of them. No shuffle."""
+    """One row for each of df: key, th, fp, sid (the id of its set of shingles), n (the set's size), marks (its parities); and
+    a task's shingles counted by cells, a row (n null, th the block, cells) for each block of them. No shuffle."""
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(struct)
         counts, row = np.zeros(CELLS, np.uint32), lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         for batch in batches:
-            fps, sids, sizes, bits = [], [], [], []
+            fps, sids, sizes, marks = [], [], [], []
             for i in range(batch.num_rows):  # one text's words at a time
                 words = utf8(batch.column(2)[i].as_py()).lower().split()
                 own = shingle_set(words)
                 fps.append(_fingerprint(_hashes(words, 3)) if words else 0)
                 sids.append(_sid(own))
                 sizes.append(len(own))
-                bits.append(parity(own))
+                marks.append(np.frombuffer(parity(own), np.int64))
                 np.add.at(counts, (own % np.uint64(CELLS)).astype(np.int64), 1)
-            yield row(batch.column(0), batch.column(1), fps, sids, sizes, bits)
+            yield row(batch.column(0), batch.column(1), fps, sids, sizes, marks, [None] * len(fps))
         if counts.any():
             blocks = range(0, CELLS, CELL_BLOCK)
             none = [None] * len(blocks)
-            yield row(none, list(blocks), none, none, none, [counts[b : b + CELL_BLOCK].tobytes() for b in blocks])
+            yield row(none, list(blocks), none, none, none, none, [counts[b : b + CELL_BLOCK].tobytes() for b in blocks])
 
-    struct = StructType([StructField(key, kind), *StructType.fromDDL("th bigint, fp bigint, sid bigint, n bigint, bits binary")])
+    struct = StructType([StructField(key, kind), *StructType.fromDDL("th bigint, fp bigint, sid bigint, n bigint, marks array<bigint>, cells binary")])
     return df.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, struct)
 
 
 def _alike(df: DataFrame, text: str, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of ids of sets that are SIMILARITY alike. each: sid, th, n, bits of one text of every set.
+    """Those of the pairs (a, b) of ids of sets that are SIMILARITY alike. each: sid, th, n, marks of one text of every set.
 
     Parities rule out nearly all others first; only the texts of what's left are read and their shingles compared.
     """
     spark = df.sparkSession
-    sided = lambda end: each.select(F.col("sid").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "bits", "th")))
+    sided = lambda end: each.select(F.col("sid").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", "marks", "th")))
 
     def sift():
         def run(*columns):
-            kept = [(a, b, i, j) for a, b, i, j, n, m, x, y in zip(*columns) if may_be_alike(n, m, x, y)]
+            kept = [(a, b, i, j) for a, b, i, j, n, m, x, y in zip(*columns) if may_be_alike(n, m, np.array(x, np.int64).tobytes(), np.array(y, np.int64).tobytes())]
             return {c: [r[k] for r in kept] for k, c in enumerate(("a", "b", "a_th", "b_th"))}
 
         return run
 
-    names = ["a", "b", "a_th", "b_th", "a_n", "b_n", "a_bits", "b_bits"]
+    names = ["a", "b", "a_th", "b_th", "a_n", "b_n", "a_marks", "b_marks"]
     left, path = durable_at(map_batches(pairs.join(sided("a"), "a").join(sided("b"), "b"), names, "a bigint, b bigint, a_th bigint, b_th bigint", sift))
     wanted = small(left.select(F.col("a").alias("sid"), F.col("a_th").alias("th")).unionByName(left.select(F.col("b").alias("sid"), F.col("b_th").alias("th"))).distinct())
     texts = df.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted.select("th").distinct(), "th", "left_semi").dropDuplicates(["th", "text"])
@@ -378,6 +380,10 @@ def _alike(df: DataFrame, text: str, each: DataFrame, pairs: DataFrame) -> DataF
     return found
 
 
+#: may_be_alike() of rows x and y whose parities have the same number of cells; others are told later.
+_PARITY = "size(x.marks) <> size(y.marks) or x.n + y.n - aggregate(zip_with(x.marks, y.marks, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) >= 2 * (({up} * (x.n + y.n) + {both} - 1) div {both})".format(up=SIMILARITY[0], both=sum(SIMILARITY))
+
+
 def _mixed(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
     """Rows of met at shingles that sets of several components have, with root and c, the number of such rows at the shingle; durable."""
     placed = met.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -395,8 +401,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     spark = small_batches(df.sparkSession)
     read, read_path = durable_at(_read(df, key, text))
-    each = read.filter("n is not null").select(key, "th", "fp", "sid", "n", "bits")
-    cells = read.filter("n is null").select(F.col("th").alias("block"), F.col("bits").alias("cells")).repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block bigint, cells binary")
+    each = read.filter("n is not null").select(key, "th", "fp", "sid", "n", "marks")
+    cells = read.filter("n is null").select(F.col("th").alias("block"), "cells").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block bigint, cells binary")
     counts = np.zeros(CELLS, np.int64)
     for row in cells.collect():  # CELLS numbers in all
         own = np.frombuffer(row.cells, np.int64)
@@ -429,7 +435,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     copies = map_batches(df, [text], "h bigint, salt int, sid bigint, n int, at int", make_prefixes)
     met, met_path = durable_at(copies.repartition("h", "salt").sortWithinPartitions("h", "salt", "sid").mapInArrow(_shared, _MET))
     release(spark)
-    sets, sets_path = durable_at(each.groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    sets, sets_path = durable_at(each.groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("marks").alias("marks")))
     # The firsts of a salted shingle are compared with the least of them.
     firsts = met.filter("salt >= 0 and sid = first").select("h", "sid")
     tops = firsts.join(firsts.groupBy("h").agg(F.min("sid").alias("top")), "h").filter("sid <> top").select(F.col("top").alias("a"), F.col("sid").alias("b"))
@@ -448,23 +454,28 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     # shingle has of its own. Most crowds are one component after that; what isn't is compared pair by pair.
     for turn in itertools.count():
         each_root = left.groupBy("h", "root").agg(F.count("*").cast("double").alias("k"))
-        apart = each_root.groupBy("h").agg(F.sum("k").alias("rows"), F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"))
-        size = apart.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()  # one row
+        by_h = each_root.groupBy("h").agg(F.sum("k").alias("rows"), F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"))
+        size = by_h.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()  # one row
         if (size.pairs or 0) <= PAIRS_A_ROW * (size.rows or 0):
             break
         mark = F.xxhash64("sid", "h", F.lit(turn))
         near = Window.partitionBy("h", F.pmod(mark, F.ceil(F.col("c") / CROWD))).orderBy(mark)
         met_next = left.withColumns({f"next_{c}": F.lead(c).over(near) for c in ("sid", "n", "at", "root")}).filter("root <> next_root")
         asked = met_next.filter(_may_reach(*map(F.col, ("n", "at", "next_n", "next_at")))).select(F.least("sid", "next_sid").alias("a"), F.greatest("sid", "next_sid").alias("b")).distinct()
+        asked, asked_path = durable_at(asked)
         found = _alike(df, text, sets, asked)
-        if found.isEmpty():
-            break
+        few = found.count() < FEW * asked.count()
+        drop(spark, asked_path)
         roots = components(roots.unionByName(found))
         drop(spark, left_path)
         left, left_path = _mixed(met, roots)
-    x, y = left.alias("x"), left.alias("y")
+        if few:
+            break
+    # Parities rule pairs out inside the join, so that a crowd's pairs are looked at but not written.
+    marked = left.select("h", "sid", "n", "at", "root").join(sets.select("sid", "marks"), "sid")
+    x, y = marked.alias("x"), marked.alias("y")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
-    others = x.join(y, apart & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    others = x.join(y, apart & F.expr(_PARITY) & _may_reach(*map(F.col, ("x.n", "x.at", "y.n", "y.at")))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     every = components(roots.unionByName(_alike(df, text, sets, others)))
     ids = nodes.select(F.col("sid").alias("fp"), "least").groupBy("fp").agg(F.min("least").alias("least"))
     told = durable(_named(each.select(key, "th", F.col("sid").alias("fp")), ids, every).select(key, "th", "root", "component_id"))
